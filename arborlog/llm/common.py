@@ -55,8 +55,9 @@ def connected(links: DataFrame) -> DataFrame:
     links(a long, b long) -> (node long, root long), one row for each node that has a link to
     another node; root is the smallest node of the component. Alternates large-star and small-star
     steps until the edges are stars. Each step only takes minima by node, which combine before
-    the shuffle, and joins them back by an inner join that adaptive execution can split; no
-    neighbour list is ever gathered. Null ends and loops are ignored; no links give no rows.
+    the shuffle, pins them, and joins them back: by broadcast if they are few, else by an inner join of two
+    plain shuffles, of which adaptive execution splits a node with many links. No neighbour list is ever
+    gathered. Null ends and loops are ignored; no links give no rows.
     """
     edges = pinned(
         links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
@@ -66,10 +67,11 @@ def connected(links: DataFrame) -> DataFrame:
     seen = _digest(edges)
     while seen[0]:
         both = edges.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionByName(edges.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
-        least = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
-        large = both.join(least, "n").where("m > n and m > low").select(F.col("m").alias("hi"), F.col("low").alias("lo")).distinct()
-        floor = large.groupBy("hi").agg(F.min("lo").alias("low"))
-        step = large.join(floor, "hi").select("hi", "lo", "low")
+        least = pinned(both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low")))
+        large = both.join(if_small(least), "n").where("m > n and m > low").select(F.col("m").alias("hi"), F.col("low").alias("lo")).distinct()
+        large = pinned(large)
+        floor = pinned(large.groupBy("hi").agg(F.min("lo").alias("low")))
+        step = large.join(if_small(floor), "hi").select("hi", "lo", "low")
         small = step.select("hi", F.col("low").alias("lo")).unionByName(step.where("lo > low").select(F.col("lo").alias("hi"), F.col("low").alias("lo")))
         edges = pinned(small.distinct())
         now = _digest(edges)
