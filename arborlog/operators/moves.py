@@ -7,12 +7,18 @@ from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 NEAR, MARGIN = 0.60, 0.20
 PLAN = "plan_id string, seq long, op_type string, symbol_id string, parent_id string, kind string, name string, body string, metadata string, reference_id string, from_symbol_id string, to_symbol_id string"
 _FIELDS = [x.split()[0] for x in PLAN.split(", ")]
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """df with columns of its own, so that two tables of one origin can be grouped together."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def collapse_moves(ops: list[dict], base: dict[str, dict]) -> list[dict]:
     """One plan's operations with relocated subtrees as moves. base: symbols by id.
 
@@ -91,7 +97,7 @@ def detect_moves(plans: DataFrame, base: DataFrame) -> DataFrame:
         out = collapse_moves(rows, known)
         return pd.DataFrame([{c: o.get(c) for c in _FIELDS} | {"plan_id": key[0], "seq": i + 1} for i, o in enumerate(out)], columns=_FIELDS)
 
-    return plans.groupBy("plan_id").cogroup(base.groupBy("plan_id")).applyInPandas(run, PLAN)
+    return _apart(plans).groupBy("plan_id").cogroup(_apart(base).groupBy("plan_id")).applyInPandas(run, PLAN)
 
 
 def token_set(body: str | None) -> frozenset[str]:
@@ -170,4 +176,4 @@ def detect_renames(base: DataFrame, edited: DataFrame, greedy: bool = True) -> D
             rows += [(s["name"], None, "deleted") for i, s in enumerate(a) if i not in {p[0] for p in pairs}] + [(None, e["name"], "added") for j, e in enumerate(b) if j not in {p[1] for p in pairs}]
         return pd.DataFrame([(key[0], *r) for r in rows], columns=["container", "base_name", "edited_name", "outcome"])
 
-    return base.groupBy("container").cogroup(edited.groupBy("container")).applyInPandas(run, MATCHES)
+    return _apart(base).groupBy("container").cogroup(_apart(edited).groupBy("container")).applyInPandas(run, MATCHES)

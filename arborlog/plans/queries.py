@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arborlog import functions as fn
 from arborlog.operators import aggregate, diff, graph, hierarchy, merge, moves, replay, visible
+from arborlog.operators.lineage import settled
 from arborlog.plans.oracles import AGENT, BRANCHES, CONFLICTS, DESIRED, MAIN, REPLAY, sql
 from arborlog.sources import derive
 
@@ -49,7 +50,7 @@ def branch_replay(spark: SparkSession, sf: str) -> replay.Replay:
     """Replay of all users' branches over main's head, of which only the rows that they touch come in."""
     symbols, references = main_state(spark, sf)
     scoped = replay.in_scope(seen_ops(spark, sf), symbols, references)
-    return replay.Replay(scoped.persist(), replay.OWN)
+    return replay.Replay(settled(scoped), replay.OWN)
 
 
 def _ids(symbols: DataFrame, kind: str) -> DataFrame:
@@ -323,8 +324,8 @@ def merge_outcome_per_branch(spark, sf):
 
 @query(sql(MAIN, AGENT, select="select 'agent-' || user_id as name, 0 as x from users", recursive="").replace("select 'agent-' || user_id as name, 0 as x from users", """
   select name, fnv, row_number() over (order by fnv, name) as rank from (
-    select name, printf('%016x', list_reduce(list_prepend(14695981039346656037::uhugeint, list_transform(string_split(name, ''), c -> ord(c)::uhugeint)),
-      (a, b) -> ((xor(a, b)) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)) as fnv from (select 'agent-' || user_id as name from users))"""))
+    select name, printf('%016x', list_reduce(list_prepend(14695981039346656037::uhugeint, list_transform(string_split(name, ''), lambda c: ord(c)::uhugeint)),
+      lambda a, b: (xor(a, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)) as fnv from (select 'agent-' || user_id as name from users))"""))
 def merge_order_fnv(spark, sf):
     """Agents in the order of merging: by FNV-1a of their name. Few rows: one for each user."""
     from arborlog.operators.ranks import dense_positions
@@ -364,7 +365,7 @@ def desired_state(spark, sf) -> tuple[DataFrame, DataFrame]:
 def diff_plan(spark, sf):
     base, base_refs = main_state(spark, sf)
     want, want_refs = desired_state(spark, sf)
-    return diff.recover(base, base_refs, want, want_refs).select("phase", "op_type", "symbol_id", "reference_id", "name", "body")
+    return diff.recover(*map(settled, (base, base_refs, want, want_refs))).select("phase", "op_type", "symbol_id", "reference_id", "name", "body")
 
 
 @query("""
@@ -409,12 +410,12 @@ def changed_paths_since(spark, sf):
     return diff.changed_paths(symbols, symbols, own_ops(spark, sf))
 
 
-@query(sql(MAIN, select="""
-  select a.parent_id as container, a.symbol_id as base_id, b.symbol_id as edited_id, round(case when len(u) = 0 then 1.0 else len(list_intersect(a.t, b.t)) / len(u)::double end, 6) as similarity
-  from (select *, list_distinct(list_concat(a.t, b.t)) as u from
-    (select *, list_distinct(list_filter(regexp_split_to_array(lower(body), '[^\\p{L}\\p{N}_]+'), x -> x <> '')) as t from sym where kind = 'function') a
-    join (select *, list_distinct(list_filter(regexp_split_to_array(lower(body), '[^\\p{L}\\p{N}_]+'), x -> x <> '')) as t from sym where kind = 'function') b
-    on a.parent_id = b.parent_id and a.body <> b.body and a.ordinal + 1 = b.ordinal) x""").replace("select a.parent_id as container, a.symbol_id as base_id, b.symbol_id as edited_id, round(case when len(u) = 0 then 1.0 else len(list_intersect(a.t, b.t)) / len(u)::double end, 6) as similarity\n  from (select *, list_distinct(list_concat(a.t, b.t)) as u from", "select a.parent_id as container, a.symbol_id as base_id, b.symbol_id as edited_id, round(case when len(list_concat(a.t, b.t)) = 0 then 1.0 else len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::double end, 6) as similarity\n  from (select 1) z,").replace("a.ordinal + 1 = b.ordinal) x", "a.ordinal + 1 = b.ordinal").replace("(select 1) z,\n    (select", "\n    (select"))
+_TOKENS = "select *, list_distinct(list_filter(regexp_split_to_array(lower(body), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) as t from sym where kind = 'function'"
+
+
+@query(sql(MAIN, select=f"""
+  select a.parent_id as container, a.symbol_id as base_id, b.symbol_id as edited_id, round(len(list_intersect(a.t, b.t)) / greatest(1, len(list_distinct(list_concat(a.t, b.t))))::double, 6) as similarity
+  from ({_TOKENS}) a join ({_TOKENS}) b on a.parent_id = b.parent_id and a.body <> b.body and a.ordinal + 1 = b.ordinal"""))
 def body_similarity_pairs(spark, sf):
     """Similarity of the bodies of neighbouring parts of a brand."""
     symbols, _ = main_state(spark, sf)

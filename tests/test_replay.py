@@ -1,5 +1,6 @@
 import random
 
+from arborlog.operators.lineage import settled
 from arborlog.operators.replay import OWN, Replay, in_scope, validate
 from arborlog.schema import OPERATION, OPERATION_COLUMNS
 from tests.fold import fold
@@ -45,7 +46,7 @@ def frame(spark, logs):
 def test_replay_equals_fold(spark):
     rng = random.Random(5)
     logs = [random_log(rng, rng.randrange(2, 18), f"a{i}") for i in range(60)] + [legal_prefix(rng, f"b{i}") for i in range(60)]
-    r = Replay(frame(spark, logs).cache())
+    r = Replay(settled(frame(spark, logs)))
     failed = {x["log_id"]: x["ordinal"] for x in r.failures.collect()}
     symbols, references = {}, {}
     for x in r.symbols().collect():
@@ -67,7 +68,7 @@ def test_as_of_equals_fold_of_prefix(spark):
     log = [o for o in legal_prefix(rng, "l") if True]
     stop = fold(log)[0]
     log = log[: stop - 1] if stop else log
-    r = Replay(frame(spark, [log]).cache())
+    r = Replay(settled(frame(spark, [log])))
     for at in (0, 3, len(log) // 2, len(log)):
         got = {x["symbol_id"]: x["name"] for x in r.symbols(at).collect()}
         assert got == {i: s["name"] for i, s in fold(log[:at])[1].items()}
@@ -89,6 +90,6 @@ def test_scope_finds_the_same_failures(spark):
         for o in log:
             o["ordinal"] += len(base)
         logs.append(log)
-    got = {x["log_id"]: x["ordinal"] for x in Replay(in_scope(frame(spark, logs), symbols, refs).cache(), OWN).failures.collect()}
+    got = {x["log_id"]: x["ordinal"] for x in Replay(settled(in_scope(frame(spark, logs), symbols, refs)), OWN).failures.collect()}
     for log in logs:
         assert got.get(log[0]["log_id"]) == fold([*base, *log])[0]
