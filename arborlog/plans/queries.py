@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlog import functions as fn
+from arborlog import simulate as simulation
+from arborlog.handlers import handler_of, import_files, render_files, validate_files
 from arborlog.operators import aggregate, diff, graph, hierarchy, merge, moves, replay, visible
 from arborlog.operators.lineage import settled
 from arborlog.plans.oracles import AGENT, BRANCHES, CONFLICTS, DESIRED, MAIN, REPLAY, sql
@@ -565,3 +567,66 @@ def safe_paths(spark, sf):
     key = F.col("page_id").cast("string")
     path = F.when(k == 0, F.regexp_replace("url", "^https?://", "")).when(k == 1, F.col("url")).when(k == 2, F.concat(F.lit("../"), key)).when(k == 3, F.concat(F.lit("/"), key)).otherwise(F.concat(F.lit("src/"), key, F.lit(".ts")))
     return derive.table(spark, sf, "pages").select("page_id", fn.safe_path(path).alias("safe"))
+
+
+# --- files
+
+
+def _tree(spark, sf) -> DataFrame:
+    """A tree of files out of the tables: documents as markdown, event properties as JSON, parts as TOML, customers as YAML, pages as they are."""
+    t = lambda name: derive.table(spark, sf, name)
+    title = F.concat(F.lit("# "), "source", F.lit(" "), "lang", F.lit("\n\n"))
+    docs = t("documents").select(F.concat(F.lit("docs/"), "doc_id", F.lit(".md")).alias("path"), F.concat(title, "text", F.lit("\n")).alias("content"))
+    events = t("events").select(F.concat(F.lit("events/"), "event_id", F.lit(".json")), F.col("props"))
+    parts = t("part").select(F.concat(F.lit("parts/"), "p_partkey", F.lit(".toml")), F.concat(F.lit("# part\n[part]\nname = \""), "p_name", F.lit("\"\n[size]\nvalue = "), "p_size", F.lit("\n")))
+    customers = t("customer").select(F.concat(F.lit("customers/"), "c_custkey", F.lit(".yaml")), F.concat(F.lit("# customer\nname: "), "c_name", F.lit("\nnation: "), "c_nationkey", F.lit("\n")))
+    pages = t("pages").select(F.concat(F.lit("pages/"), "page_id", F.lit(".html")), F.col("html"))
+    return docs.unionAll(events).unionAll(parts).unionAll(customers).unionAll(pages)
+
+
+_TREE = """with tree as (
+  select 'docs/' || doc_id || '.md' as path, '# ' || source || ' ' || lang || chr(10) || chr(10) || text || chr(10) as content from documents
+  union all select 'events/' || event_id || '.json', props from events
+  union all select 'parts/' || p_partkey || '.toml', '# part' || chr(10) || '[part]' || chr(10) || 'name = "' || p_name || '"' || chr(10) || '[size]' || chr(10) || 'value = ' || p_size || chr(10) from part
+  union all select 'customers/' || c_custkey || '.yaml', '# customer' || chr(10) || 'name: ' || c_name || chr(10) || 'nation: ' || c_nationkey || chr(10) from customer
+  union all select 'pages/' || page_id || '.html', html from pages) """
+
+
+@query(_TREE + "select path, case split_part(path, '/', 1) when 'docs' then 'markdown' when 'events' then 'json' when 'parts' then 'toml' when 'customers' then 'yaml' else 'blob' end as handler from tree")
+def file_handlers(spark, sf):
+    return _tree(spark, sf).select("path", handler_of(F.col("path")).alias("handler"))
+
+
+@query(_TREE + """select path, null as section, 0 as n from tree where false
+  union all select path, 'part', 1 from tree where path like 'parts/%' union all select path, 'size', 2 from tree where path like 'parts/%'
+  union all select path, 'name', 1 from tree where path like 'customers/%' union all select path, 'nation', 2 from tree where path like 'customers/%'
+  union all select path, k, row_number() over (partition by path order by k) from (select path, unnest(json_keys(content)) as k from tree where path like 'events/%')""")
+def data_sections(spark, sf):
+    """Keys and tables of the JSON, TOML and YAML files."""
+    files = _tree(spark, sf).where("path not like 'docs/%' and path not like 'pages/%'")
+    return import_files(files)[0].where("seq > 0").select("path", F.col("name").alias("section"), F.col("seq").cast("int").alias("n"))
+
+
+@query()
+def markdown_sections(spark, sf):
+    files = _tree(spark, sf).where("path like 'docs/%'")
+    return import_files(files)[0].where("kind <> 'file'").select("path", "seq", "kind", "name", F.sha2("body", 256).alias("body_sha256"))
+
+
+@query(_TREE + "select path, case when path like 'events/%' then null else sha256(content) end as content_sha256 from tree")
+def shred_and_render(spark, sf):
+    """All files through their handlers and back: byte by byte the same, but for JSON, which is canonical."""
+    back = render_files(import_files(_tree(spark, sf))[0])
+    return back.select("path", F.when(~F.col("path").startswith("events/"), F.sha2("content", 256)).alias("content_sha256"))
+
+
+@query(_TREE + "select path, true as ok from tree")
+def file_validation(spark, sf):
+    return validate_files(_tree(spark, sf)).select("path", "ok")
+
+
+@query("select 512::bigint as agents, 512::bigint as safe, 0::bigint as conflicts, 1027::bigint as operations, 515::bigint as symbols, 512::bigint as refs, 0::bigint as failures")
+def simulation_summary(spark, sf):
+    """512 agents at once, merged in order of their hashes; the tables play no part."""
+    r = simulation.simulate(spark, 512)
+    return spark.createDataFrame([tuple(r.values())], "agents long, safe long, conflicts long, operations long, symbols long, refs long, failures long")

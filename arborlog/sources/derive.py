@@ -91,7 +91,7 @@ def agent_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     op_type = F.when(kind == "purchase", "CreateSymbol").when(link, "CreateReference").when(kind == "error", "DeleteSymbol").otherwise("UpdateSymbol")
     return rows.select(
         F.concat(F.lit("agent-"), "user_id").alias("branch_id"), "position", F.concat(F.lit("op:"), "event_id").alias("op_id"), op_type.alias("op_type"),
-        *[columns[c].cast(t).alias(c) for c, t in _NONE.items()], F.concat(F.lit("cs-"), "user_id").alias("changeset_id"), F.col("ts").alias("created_at"),
+        *[columns[c].cast(t).alias(c) for c, t in _NONE.items()], F.concat(F.lit("cs-"), "user_id").alias("changeset_id"), F.col("ts").cast("timestamp").alias("created_at"),
     )
 
 
@@ -101,7 +101,7 @@ def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     The size of main is counted from the tables, which Parquet footers mostly answer.
     """
     t = lambda name: table(spark, sf_dir, name)
-    users = t("events").groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").alias("t"))
+    users = t("events").groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").cast("timestamp").alias("t"))
     sizes = [t(n).select(F.lit(1).alias("x")) for n in ("region", "nation", "customer", "orders", "part")]
     rows = sizes[0]
     for x in [*sizes[1:], t("part").select("p_brand").distinct().select(F.lit(1).alias("x")), t("lineitem").select("l_orderkey", "l_partkey").distinct().select(F.lit(1).alias("x"))]:
