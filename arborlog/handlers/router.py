@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlog.handlers.base import Handler, Symbol, Unparseable
+from arborlog.handlers.code import CSharp, Elixir, Go, Rust, TypeScript
 from arborlog.handlers.data import Blob, Json, Toml, Yaml
 from arborlog.handlers.markdown import Markdown
 from arborlog.handlers.python import Python
 
 #: In order; the first that claims a file reads it, and blob claims all.
-HANDLERS: list[Handler] = [Python(), Json(), Markdown(), Toml(), Yaml(), Blob()]
+HANDLERS: list[Handler] = [TypeScript(), Go(), Rust(), Python(), CSharp(), Elixir(), Json(), Markdown(), Toml(), Yaml(), Blob()]
 _BY_NAME = {h.name: h for h in HANDLERS}
 
 SYMBOLS = "path string, handler string, seq long, symbol_id string, parent_id string, kind string, name string, body string, metadata string, error string"
@@ -26,7 +27,7 @@ def handler_of(path: Column) -> Column:
     out = F.when(F.lit(False), "")
     for h in HANDLERS:
         if h.suffixes:
-            out = out.when(F.lower(path).rlike("(" + "|".join(s.replace(".", r"\.") for s in h.suffixes) + ")$"), h.name)
+            out = out.when(F.lower(path).rlike("(" + "|".join(s.replace(".", r"\.") for s in h.suffixes) + ")$") & ~F.lower(path).rlike(r"(\.d\.ts|_test\.go)$"), h.name)
     return out.otherwise("blob")
 
 

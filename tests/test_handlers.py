@@ -68,3 +68,37 @@ def test_import_and_render(spark):
     assert ok == {p: p != "bad.py" for p, _ in files}
     with pytest.raises(Exception, match="(?i)syntax|invalid"):
         import_files(table, strict=True)[0].collect()
+
+
+TS = 'import x from "y";\n\n/** doc */\nexport class A extends B {\n  private n = 1;\n  static make(): A { return new A(); }\n  get size() { return this.n; }\n  run(a: string) {\n    this.go(`}{`);\n    helper(a);\n  }\n  go() {} // {\n}\n\nconst k = { a: 1 };\nexport async function helper(x) { return x; }\n'
+GO = 'package p\n\nimport "fmt"\n\n// S is.\ntype S struct {\n\tA int\n\tb *T\n}\n\ntype I interface {\n\tDo(x int) error\n}\n\nconst K = 1\n\nfunc (s *S) Run() { fmt.Println("{"); help() }\n\nfunc help() int {\n\treturn 1\n}\n'
+RS = "use a::b;\n\n#[derive(Debug)]\npub struct S<'a> { x: &'a str }\n\nimpl<'a> S<'a> {\n    pub fn run(&self) -> char { helper(); '{' }\n    fn go(&self) { self.run(); }\n}\n\npub const N: usize = 3;\nfn helper() {}\n"
+CS = "using System;\n\nnamespace N {\n  public class A {\n    private int n = 0;\n    public int Size { get; set; }\n    public A(int n) { this.n = n; }\n    public void Run() { Go(); }\n    void Go() {}\n  }\n}\n"
+EX = 'defmodule A.B do\n  @doc "x end"\n  def run(a, b), do: go(a)\n  def run(a, {b, c}) do\n    go(a)\n  end\n\n  defp go(a) do\n    a\n  end\nend\n\n# tail\n'
+
+
+@pytest.mark.parametrize(
+    "path, text, found",
+    [
+        ("a.ts", TS, [("class", "A"), ("property", "n"), ("static-method", "make"), ("getter", "size"), ("method", "run"), ("method", "go"), ("raw", "item-0002"), ("function", "helper")]),
+        ("a.go", GO, [("struct", "S"), ("field", "A"), ("field", "b"), ("raw", "item-0002"), ("interface", "I"), ("interface-method", "Do"), ("raw", "item-0003"), ("const", "K"), ("method", "Run"), ("raw", "item-0004"), ("function", "help")]),
+        ("a.rs", RS, [("struct", "S"), ("raw", "item-0002"), ("impl", "<'a> S<'a>"), ("method", "run"), ("method", "go"), ("raw", "item-0003"), ("const", "N"), ("function", "helper")]),
+        ("a.cs", CS, [("namespace", "N"), ("class", "A")]),
+        ("a.ex", EX, [("module", "A.B"), ("function", "run/2"), ("function", "go/1"), ("raw", "item-last")]),
+    ],
+)
+def test_code(path, text, found):
+    handler = next(h for h in router.HANDLERS if h.claims(path))
+    symbols, calls = handler.shred(path, text)
+    assert handler.render(symbols) == text
+    assert [(s.kind, s.name) for s in symbols[1:]] == found
+    if path == "a.ts":
+        assert {(c.name, c.how) for c in calls} >= {("go", "local"), ("helper", "bare")}
+    assert len({s.id for s in symbols}) == len(symbols)
+
+
+def test_broken_code_degrades():
+    for path in ("a.ts", "a.go", "a.rs", "a.cs"):
+        handler = next(h for h in router.HANDLERS if h.claims(path))
+        assert handler.check(path, "func f( {") is not None
+    assert next(h for h in router.HANDLERS if h.claims("x.d.ts")).name == "blob"
