@@ -198,3 +198,11 @@ def near_embeddings(table: DataFrame, least: float = 0.98, trees: int = TREES, l
         .select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("low", "vec_id").alias("component_id"))
         .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     )
+
+
+ORACLE_SQL = """
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
+link as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(x, y) as (select vec_id, vec_id from v union select r.x, l.b from reach r join link l on l.a = r.y)
+select x as vec_id, (select count(*) from link where a = x) as n_links, min(y) as component_id, min(y) = x as kept from reach group by x
+"""

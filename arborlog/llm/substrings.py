@@ -231,3 +231,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     sent = dealt.groupBy("m").applyInArrow(lambda key, t: send(key, t.select(["doc_id", "text"])), "g int, m int, nodes binary, head binary")
     replies = sent.groupBy("g").applyInArrow(judge, "m int, g int, bits binary")
     return dealt.groupBy("m").cogroup(replies.groupBy("m")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
+
+
+ORACLE_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+words as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from w),
+win as (select doc_id, i as pos, array_to_string(ws[i:i + 12], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w where len(ws) >= 13)),
+low as (select k, min(doc_id) as d from win group by k),
+gone as (select distinct win.doc_id, pos + j as pos from win join low on low.k = win.k and low.d < win.doc_id, range(0, 13) t(j)),
+kept as (select words.doc_id, string_agg(word, ' ' order by words.pos) as s, count(*) as n from words left join gone on gone.doc_id = words.doc_id and gone.pos = words.pos where gone.pos is null group by 1)
+select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(s, '')) as kept_sha256 from w left join kept on kept.doc_id = w.doc_id
+"""
