@@ -145,8 +145,9 @@ def _grouped(docs: DataFrame, bits: int, shingle: int) -> DataFrame:
     nodes = pinned(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected(near_links(nodes.select("fp"), bits))
     named = pinned(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = pinned(named.join(lowest, "root").select(F.col("fp").alias("node"), "root", "component_id"))
+    # minima are pinned before they are joined back: few are broadcast, many meet in a join that can be split
+    lowest = pinned(named.groupBy("root").agg(F.min("first").alias("component_id")))
+    by_print = pinned(named.join(if_small(lowest), "root").select(F.col("fp").alias("node"), "root", "component_id"))
     return prints.join(if_small(by_print), F.col("fp") == F.col("node")).drop("node")
 
 
@@ -169,7 +170,7 @@ def one_of_each(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
     Of repeated rows the first in the input stays. The rows that go are taken out by an anti-join on
     their place in the input, which is the same in both readings of the same files.
     """
-    groups = _grouped(docs, bits, shingle)
+    groups = pinned(_grouped(docs, bits, shingle).select("entry", "doc_id", "root"))
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "entry")).alias("kept"))
-    lost = groups.join(first, "root").where("entry <> kept.entry").select(F.col("entry").alias("__entry"))
+    lost = groups.join(if_small(pinned(first)), "root").where("entry <> kept.entry").select(F.col("entry").alias("__entry"))
     return docs.withColumn("__entry", F.monotonically_increasing_id()).join(lost, "__entry", "left_anti").select(*docs.columns)
