@@ -34,8 +34,12 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(found), bitorder="little").tobytes(), "little")
 
 
+def _text_key():
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def with_fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(entry, doc_id, fp long): the place and the fingerprint of each row, of its whole text, null text as empty."""
+    """(entry, doc_id, fp long): a hash of the text and its fingerprint for each row, of the whole text, null text as empty."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -43,7 +47,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fps = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in b.column(2)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64), pa.int64())], ["entry", "doc_id", "fp"])
 
-    source = docs.select(F.monotonically_increasing_id().alias("entry"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = docs.select(_text_key().alias("entry"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, "entry long, doc_id long, fp long")
 
 
@@ -167,10 +171,21 @@ def simhash_groups(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFram
 def one_of_each(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
     """The rows of docs, all columns, without near-duplicates: of each group the row with the smallest doc_id stays.
 
-    Of repeated rows the first in the input stays. The rows that go are taken out by an anti-join on
-    their place in the input, which is the same in both readings of the same files.
+    Rows are known by doc_id and a hash of the text, not by their place, so that a second reading of the files may split
+    them otherwise. The rows that go are taken out by an anti-join. Of repeated rows (one doc_id, one text) one stays.
     """
     groups = pinned(_grouped(docs, bits, shingle).select("entry", "doc_id", "root"))
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "entry")).alias("kept"))
-    lost = groups.join(if_small(pinned(first)), "root").where("entry <> kept.entry").select(F.col("entry").alias("__entry"))
-    return docs.withColumn("__entry", F.monotonically_increasing_id()).join(lost, "__entry", "left_anti").select(*docs.columns)
+    other = ~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("entry") == F.col("kept.entry")))
+    lost = groups.join(if_small(pinned(first)), "root").where(other).select("doc_id", "entry").distinct()
+    repeats = pinned(groups.groupBy("doc_id", "entry").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "entry"))
+    rows = _without(docs.withColumn("__entry", _text_key()), lost, "left_anti")
+    if not repeats.isEmpty():
+        many = _without(rows, repeats, "left_semi").dropDuplicates(["doc_id", "__entry"])
+        rows = _without(rows, repeats, "left_anti").unionByName(many)
+    return rows.select(*docs.columns)
+
+
+def _without(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    k = keys.select(F.col("doc_id").alias("__doc"), F.col("entry").alias("__key"))
+    return rows.join(k, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__entry") == F.col("__key")), how)
