@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,10 +69,10 @@ _ODD = re.compile("[" + "".join(_LOOKALIKE) + "".join(_HIDDEN) + "‐-―․。
 # Words for digits.
 _DIGIT = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _NUMBER = "(?:" + "|".join(_DIGIT) + ")"
-_SPELLED = re.compile(rf"(?<![a-z])(?:{_NUMBER}(?![a-z])|[0-9]+)(?:[ ,.\-]{{1,2}}(?:{_NUMBER}(?![a-z])|[0-9]+|dot(?![a-z])|point(?![a-z]))){{3,}}")
+_SPELLED = re.compile(rf"(?<![a-z])(?:{_NUMBER}(?![a-z])|(?<![0-9])[0-9]++)(?:[ ,.\-]{{1,2}}(?:{_NUMBER}(?![a-z])|[0-9]++|dot(?![a-z])|point(?![a-z]))){{3,}}")
 _TOKEN = re.compile(rf"{_NUMBER}|[0-9]|dot|point|.", re.S)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_MARKS = re.compile(rf"\s*{_OPEN}\s*(at|dot|punkt|point)\s*{_CLOSE}\s*")
+_MARKS = re.compile(rf"{_OPEN}\s*(at|dot|punkt|point)\s*{_CLOSE}\s*")
 # a bare address: local part, "at" or @, and names joined by "dot" or a full stop
 _BARE = re.compile(r"(?<![a-z0-9._%+-])[a-z0-9][a-z0-9._%+-]*(?: at |@)[a-z0-9-]+(?:(?: dot |\.)[a-z0-9-]+)+")
 _JOIN = re.compile(r" (at|dot) ")
@@ -77,12 +80,35 @@ _JOIN = re.compile(r" (at|dot) ")
 _LAST = frozenset("com org net edu gov mil int info biz io co uk us ca au de fr es it nl eu ch at be se no dk fi pl pt ru jp cn in br mx ar me tv dev app ai".split())
 
 
+class Cover:
+    """Disjoint ranges in order, so that a text of a million ranges can be asked about each of them."""
+
+    def __init__(self, ranges: Iterable[tuple[int, int]] = ()):
+        self.start, self.end = array("q"), array("q")
+        for s, e in sorted(ranges):
+            if self.end and s <= self.end[-1]:
+                self.end[-1] = max(e, self.end[-1])
+            else:
+                self.start.append(s)
+                self.end.append(e)
+
+    def meets(self, s: int, e: int) -> bool:
+        i = bisect_right(self.end, s)
+        return i < len(self.start) and self.start[i] < e
+
+    def add(self, s: int, e: int) -> None:
+        """A range that meets none."""
+        i = bisect_right(self.end, s)
+        self.start.insert(i, s)
+        self.end.insert(i, e)
+
+
 class Mapped:
     """A text under change, with the source places of each of its characters."""
 
     def __init__(self, text: str):
         self.text, self.start, self.end = text, None, None
-        self.changed: list[Span] = []
+        self.changed = Cover()
 
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """Put strings in the place of ranges of the present text, in order. Their characters map to the whole range."""
@@ -90,27 +116,37 @@ class Mapped:
             return
         n = len(self.text)
         begin, stop = (self.start, self.end) if self.start is not None else (range(n), range(1, n + 1))
-        parts, start, end, at = [], [], [], 0
+        parts, start, end, at = [], array("q"), array("q"), 0
+        ranges = list(zip(self.changed.start, self.changed.end))
         for a, b, new in edits:
             parts += [self.text[at:a], new]
-            start += begin[at:a]
-            end += stop[at:a]
+            start.extend(begin[at:a])
+            end.extend(stop[at:a])
             if new:
-                start += [begin[a]] * len(new)
-                end += [stop[b - 1]] * len(new)
+                start.extend([begin[a]] * len(new))
+                end.extend([stop[b - 1]] * len(new))
             at = b
-            self.changed.append((0, begin[a], stop[b - 1]))
+            ranges.append((begin[a], stop[b - 1]))
         parts.append(self.text[at:])
-        start += begin[at:]
-        end += stop[at:]
-        self.text, self.start, self.end = "".join(parts), start, end
+        start.extend(begin[at:])
+        end.extend(stop[at:])
+        self.text, self.start, self.end, self.changed = "".join(parts), start, end, Cover(ranges)
 
     def touched(self, a: int, b: int) -> bool:
         """Did a change make part of this range of the present text?"""
-        if self.start is None:
-            return False
-        s, e = self.start[a], self.end[b - 1]
-        return any(x < e and s < y for _, x, y in self.changed)
+        return self.start is not None and self.changed.meets(self.start[a], self.end[b - 1])
+
+
+def _marks(low: str) -> list[tuple[int, int, str]]:
+    """Edits that turn bracketed marks, with the spaces around them, into @ and full stops."""
+    out, free = [], 0
+    for x in _MARKS.finditer(low):
+        a = x.start()
+        while a > free and low[a - 1].isspace():
+            a -= 1
+        free = x.end()
+        out.append((a, free, "@" if x[1] == "at" else "."))
+    return out
 
 
 def _plain(c: str) -> str:
@@ -139,9 +175,9 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
         m.replace([(x.start(), x.end(), _plain(x[0])) for x in _ODD.finditer(text)])
     low = _lower(m.text)
     if "dot" in low or "at" in low and re.search(r"at\s*[\])}>]", low) or "punkt" in low or "point" in low:
-        m.replace([(x.start(), x.end(), "@" if x[1] == "at" else ".") for x in _MARKS.finditer(low)])
+        m.replace(_marks(low))
         low = _lower(m.text)
-        if " dot " in low or " at " in low and m.changed:
+        if " dot " in low or " at " in low and m.changed.start:
             edits = []
             for x in _BARE.finditer(low):
                 if m.touched(*x.span()) or " dot " in x[0] and ("@" in x[0] or re.split(r" dot |\.", x[0])[-1] in _LAST):
@@ -156,17 +192,17 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
                 digits = "".join("." if t in ("dot", "point") else _DIGIT.get(t, t if t.isdigit() else "") for t in tokens)
                 edits.append((x.start(), x.end(), digits))
         m.replace([e for e in edits if "." in e[2] or 7 <= len(e[2]) <= 19])
-    if not m.changed:
+    if not m.changed.start:
         return []
     # a spelled phone number has no sign that a detector can hold on to but its plus
     m.replace([(x.start(), x.end(), "+") for x in re.finditer(r"(?<![A-Za-z])plus (?=[0-9])", m.text)])
-    taken, out = sorted((s, e) for _, s, e in base), []
+    taken, out = Cover((s, e) for _, s, e in base), []
     for kind, s, e in base_spans(m.text):
         s, e = m.start[s], m.end[e - 1]
-        if any(a < e and s < b for a, b in taken) or not any(a < e and s < b for _, a, b in m.changed):
+        if taken.meets(s, e) or not m.changed.meets(s, e):
             continue
         out.append((kind, s, e))
-        taken.append((s, e))
+        taken.add(s, e)
     return sorted(out)
 
 

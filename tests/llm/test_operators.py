@@ -122,6 +122,28 @@ def test_pii_base_is_the_contract():
         assert [(pii.KINDS[k], s, e) for k, s, e in pii.base_spans(text)] == plain(text), text
 
 
+def test_pii_of_long_texts_takes_linear_time():
+    """Many changes beside many identifiers, a long run of spaces, a long run of digits: seconds, not hours."""
+    assert len(pii.find_all("аеос " * 40_000 + "jоe@exаmple.com " * 4_000)[1]) == 4_000
+    assert len(pii.find_all("joe (at) corp (dot) com " * 10_000)[1]) == 10_000
+    assert pii.find_all("dot (" + " " * 200_000 + "x")[1] == []
+    assert pii.find_all("one two three " + "9" * 200_000)[1] == []
+
+
+def test_pii_cover():
+    rng = random.Random(4)
+    for _ in range(300):
+        ranges = [(s, s + rng.randrange(1, 6)) for s in (rng.randrange(40) for _ in range(rng.randrange(8)))]
+        cover = pii.Cover(ranges)
+        for _ in range(20):
+            s = rng.randrange(44)
+            e = s + rng.randrange(1, 5)
+            assert cover.meets(s, e) == any(a < e and s < b for a, b in ranges)
+            if not cover.meets(s, e):
+                cover.add(s, e)
+                ranges.append((s, e))
+
+
 def test_pii_table(docs, none, rows):
     got = pii.find(docs).collect()
     assert len(got) == len(rows) and pii.find(none).count() == 0
