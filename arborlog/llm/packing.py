@@ -20,12 +20,13 @@ CACHE = 300_000
 
 
 class Encoder:
-    """Ids of a byte-level BPE ``tokenizers`` file, without special tokens, as little-endian bytes.
+    """Ids of a byte-level BPE ``tokenizers`` file, without special tokens around the text, as little-endian bytes.
 
     The vocabulary is read from the JSON file and merged by tiktoken, which gives the same ids
-    several times faster (a test compares both). Text between a space after a non-space and the
-    next such space never shares a token with its neighbours, so such pieces are encoded once and
-    remembered; the memory is emptied when it is full.
+    several times faster (a test compares both). As ``tokenizers`` does, the text is first cut at the
+    file's added tokens, the leftmost and longest first, and each stands as its own id. Text between a space
+    after a non-space and the next such space never shares a token with its neighbours, so such pieces are
+    encoded once and remembered; the memory is emptied when it is full.
     """
 
     def __init__(self, path: str):
@@ -34,11 +35,16 @@ class Encoder:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocabulary, added = file["model"]["vocab"], file.get("added_tokens") or []
+        if odd_ones := [x["content"] for x in added if any(x.get(k) for k in ("single_word", "lstrip", "rstrip"))]:
+            raise ValueError(f"added tokens that look at their neighbours aren't supported: {odd_ones}")
+        self._added = {x["content"]: np.array([x["id"]], dtype="<u4").tobytes() for x in added}
+        self._marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self._added, key=len, reverse=True))) + ")") if added else None
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         odd = [b for b in range(256) if b not in plain]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(odd)}
-        ranks = {bytes(byte[c] for c in k): v for k, v in vocabulary.items() if all(c in byte for c in k) and not k.startswith("<|")}
+        ranks = {bytes(byte[c] for c in k): v for k, v in vocabulary.items() if all(c in byte for c in k) and k not in self._added}
         self._bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._odd = regex.compile(r" \s|\s |^\s|\s$")
         self._cuts = regex.compile(r"(?<=\S) (?=\S)")
@@ -48,6 +54,12 @@ class Encoder:
         return np.array(self._bpe.encode_ordinary(text), dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if self._marks is None or not any(x in text for x in self._added):
+            return self._between(text)
+        return b"".join(self._added[x] if i % 2 else self._between(x) for i, x in enumerate(self._marks.split(text)))
+
+    def _between(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         parts = self._cuts.split(text) if self._odd.search(text) else text.split(" ")
         known, out = self._known, [self._whole(parts[0])]
         for p in parts[1:]:

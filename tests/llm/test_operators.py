@@ -383,6 +383,23 @@ def test_encoder_equals_tokenizers():
         assert np.frombuffer(encode(t), dtype="<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_equals_tokenizers_at_added_tokens():
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(packing.default_path()), packing.Encoder(packing.default_path())
+    ids = lambda t: np.frombuffer(encode(t), dtype="<u4").tolist()
+    assert ids("a<|endoftext|>b") == [64, 50256, 65]
+    rng = random.Random(7)
+    for _ in range(400):
+        t = "".join(rng.choice(["a", " ", "  ", "\n", "é", "don't", "<|", "|>", "<|endoftext", "<|endoftext|>", "<|ENDOFTEXT|>", " <|endoftext|> ", "x y"]) for _ in range(rng.randrange(20)))
+        assert ids(t) == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_packing_of_added_tokens(spark):
+    got = packing.pack(spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string")).collect()
+    assert [(r["doc_tokens"], r["length"], r["ids_crc32"]) for r in got] == [(4, 4, zlib.crc32(np.array([64, 50256, 65, 0], dtype="<u4").tobytes()))]
+
+
 def test_plan_fills_windows():
     rng = np.random.default_rng(0)
     counts = np.bincount(rng.integers(1, 1024, 5000), minlength=1024)
