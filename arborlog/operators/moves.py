@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict, deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -113,11 +114,51 @@ class AmbiguousIdentity(ValueError):
     """Several symbols are left on both sides and none is clearly the same."""
 
 
+def _best_two(left: dict[int, dict], new: dict[int, dict]) -> list[tuple[float, int, int]]:
+    """The two highest (similarity, base, edited) among pairs of one kind, as far as they bear on the choice.
+
+    Scores under NEAR - MARGIN can neither be taken nor stand in the way of one that can, so two bodies only meet if they share one
+    of their rarer tokens (all but the most frequent ones that such a score allows them to differ in). Equal bodies meet by
+    hash, and the search ends once the second is so high that no first could be ahead of it.
+    """
+    old, fresh = defaultdict(list), defaultdict(list)
+    for sets, rows in ((old, left), (fresh, new)):
+        for i, s in rows.items():
+            sets[s["kind"], token_set(s.get("body"))].append(i)
+    top: list[tuple[float, int, int]] = []
+
+    def settled(score: float, a: list[int], b: list[int]) -> bool:
+        top.extend([(score, i, j) for i in a[:2] for j in b[:2]])
+        top.sort(key=lambda x: (-x[0], *x[1:]))
+        del top[2:]
+        return len(top) > 1 and 1.0 - top[1][0] < MARGIN
+
+    for k in fresh:
+        if k in old and settled(1.0, old[k], fresh[k]):
+            return top
+    seen = Counter(t for _, tokens in [*old, *fresh] for t in tokens)
+    least = NEAR - MARGIN - 1e-9
+
+    def rarest(tokens: frozenset[str]) -> list[str]:
+        return sorted(tokens, key=lambda t: (seen[t], t))[: len(tokens) - math.ceil(least * len(tokens)) + 1]
+
+    holders = defaultdict(list)
+    for k in old:
+        for t in rarest(k[1]):
+            holders[k[0], t].append(k)
+    for k in fresh:
+        for o in {o for t in rarest(k[1]) for o in holders[k[0], t]}:
+            shared = len(o[1] & k[1])
+            if o[1] != k[1] and settled(shared / (len(o[1]) + len(k[1]) - shared), old[o], fresh[k]):
+                return top
+    return top
+
+
 def match_symbols(base: list[dict], edited: list[dict], greedy: bool = True) -> list[tuple[int, int]]:
     """Pairs (base, edited) of one container: by id and kind, by kind and name, then by similarity of bodies.
 
     One left on each side: the same if near enough. Else, if greedy, the best pair is taken while it is near enough and ahead
-    of the next; what is then left on both sides is refused.
+    of the next (at most three times, as each is behind the last by MARGIN); what is then left on both sides is refused.
     """
     pairs: list[tuple[int, int]] = []
     left, new = dict(enumerate(base)), dict(enumerate(edited))
@@ -126,31 +167,28 @@ def match_symbols(base: list[dict], edited: list[dict], greedy: bool = True) ->
         pairs.append((i, j))
         del left[i], new[j]
 
-    def first(j: int, keys: tuple[str, ...]) -> int | None:
-        return next((i for i, s in left.items() if all(s.get(k) == new[j].get(k) for k in keys)), None)
-
     for keys in (("symbol_id", "kind"), ("kind", "name")):
+        known = defaultdict(deque)
+        for i, s in left.items():
+            known[tuple(s.get(k) for k in keys)].append(i)
         for j in list(new):
             if keys[0] == "symbol_id" and new[j].get("symbol_id") is None:
                 continue
-            if (i := first(j, keys)) is not None:
-                take(i, j)
-
-    def score(i: int, j: int) -> float:
-        return body_similarity(left[i].get("body"), new[j].get("body"))
+            if same := known.get(tuple(new[j].get(k) for k in keys)):
+                take(same.popleft(), j)
 
     if len(left) == len(new) == 1:
         (i, s), (j, e) = *left.items(), *new.items()
-        if s["kind"] == e["kind"] and score(i, j) >= NEAR:
+        if s["kind"] == e["kind"] and body_similarity(s.get("body"), e.get("body")) >= NEAR:
             take(i, j)
         elif not greedy:
             raise AmbiguousIdentity("refusing to guess between one symbol and another")
         return sorted(pairs)
     while greedy and left and new:
-        scores = sorted(((score(i, j), -i, -j) for i in left for j in new if left[i]["kind"] == new[j]["kind"]), reverse=True)
-        if not scores or scores[0][0] < NEAR or scores[0][0] - (scores[1][0] if len(scores) > 1 else 0.0) < MARGIN:
+        best = _best_two(left, new)
+        if not best or best[0][0] < NEAR or best[0][0] - (best[1][0] if len(best) > 1 else 0.0) < MARGIN:
             break
-        take(-scores[0][1], -scores[0][2])
+        take(best[0][1], best[0][2])
     if left and new:
         raise AmbiguousIdentity(f"refusing to guess between existing {[s['name'] for s in left.values()]} and edited {[e['name'] for e in new.values()]}")
     return sorted(pairs)
@@ -173,7 +211,8 @@ def detect_renames(base: DataFrame, edited: DataFrame, greedy: bool = True) -> D
             rows = [(s["name"], None, "ambiguous") for s in a] + [(None, e["name"], "ambiguous") for e in b]
         else:
             rows = [(a[i]["name"], b[j]["name"], "kept" if a[i]["name"] == b[j]["name"] else "renamed") for i, j in pairs]
-            rows += [(s["name"], None, "deleted") for i, s in enumerate(a) if i not in {p[0] for p in pairs}] + [(None, e["name"], "added") for j, e in enumerate(b) if j not in {p[1] for p in pairs}]
+            old, new = {i for i, _ in pairs}, {j for _, j in pairs}
+            rows += [(s["name"], None, "deleted") for i, s in enumerate(a) if i not in old] + [(None, e["name"], "added") for j, e in enumerate(b) if j not in new]
         return pd.DataFrame([(key[0], *r) for r in rows], columns=["container", "base_name", "edited_name", "outcome"])
 
     return _apart(base).groupBy("container").cogroup(_apart(edited).groupBy("container")).applyInPandas(run, MATCHES)

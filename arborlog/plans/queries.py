@@ -432,8 +432,7 @@ def rename_detection(spark, sf):
     """Parts of each brand, some renamed with nearly the same body, matched by id, name and similarity."""
     parts = derive.table(spark, sf, "part")
     body = F.concat_ws(" ", "p_type", F.lit("size"), "p_size", F.lit("price"), F.col("p_retailprice").cast("int"))
-    group = F.concat("p_brand", F.lit("/"), (F.col("p_partkey") / 8).cast("long").cast("string"))
-    base = parts.select(group.alias("container"), F.lit(None).cast("string").alias("symbol_id"), F.lit("function").alias("kind"), F.concat("p_name", F.lit("#"), "p_partkey").alias("name"), body.alias("body"), F.col("p_partkey").alias("seq"))
+    base = parts.select(F.col("p_brand").alias("container"), F.lit(None).cast("string").alias("symbol_id"), F.lit("function").alias("kind"), F.concat("p_name", F.lit("#"), "p_partkey").alias("name"), body.alias("body"), F.col("p_partkey").alias("seq"))
     new = F.when(F.col("seq") % 9 == 0, F.concat(F.lit("new "), "name")).otherwise(F.col("name"))
     return moves.detect_renames(base, base.where("seq % 10 <> 7").withColumn("name", new))
 
