@@ -312,11 +312,19 @@ for _reason, _name, _table in zip(merge.REASONS, ("duplicate_symbol_id", "duplic
   select source_log, target_log, reason, source_op, target_op, symbol_id, detail, row_number() over (partition by source_log, target_log order by reason, source_op, target_op nulls first, symbol_id nulls first, detail) as rank
   from (select distinct * from (select * from m1 union all select * from m3 union all select * from m6))"""))
 def conflict_report(spark, sf):
-    """Conflicts by creates and deletes between all pairs of branches, in report order."""
+    """Conflicts by creates and deletes alone, ranked among themselves; conflict_report_whole has all six rules."""
     found = _conflicts(spark, sf).where(F.col("reason").isin("DUPLICATE_SYMBOL_ID", "DUPLICATE_SYMBOL_NAME", "REFERENCE_TO_DELETED_SYMBOL"))
     return merge.ranked(found)
 
 
+@query(sql(MAIN, AGENT, CONFLICTS, select="""
+  select source_log, target_log, reason, source_op, target_op, symbol_id, detail, row_number() over (partition by source_log, target_log order by reason, source_op, target_op nulls first, symbol_id nulls first, detail) as rank
+  from (select distinct * from (select * from m1 union all select * from m2 union all select * from m3 union all select * from m4 union all select * from m5 union all select * from m6))"""))
+def conflict_report_whole(spark, sf):
+    """Conflicts by all six rules between all pairs of branches, in report order."""
+    return merge.ranked(_conflicts(spark, sf))
+
+
 @query(sql(MAIN, AGENT, CONFLICTS, select="""
   select l.branch_id as source_log, case when count(c.source_log) > 0 then 'CONFLICT' else 'SAFE_MERGE' end as outcome, count(c.source_log) as conflicts
   from (select distinct branch_id from own) l left join (select distinct * from (select * from m1 union all select * from m2 union all select * from m3 union all select * from m4 union all select * from m5 union all select * from m6)) c on c.source_log = l.branch_id group by 1"""))

@@ -191,3 +191,23 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_conflict_report_ranks_all_reasons(spark):
+    """Against its SQL: every pair of conflicting operations, by whichever rule, has a place in the report."""
+    duckdb = pytest.importorskip("duckdb")
+    sf, name = "/root/testdata/sf0.001", "conflict_report_whole"
+    db = duckdb.connect()
+    for t in ("region", "nation", "customer", "orders", "part", "lineitem", "events"):
+        db.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    found = queries.QUERIES[name](spark, sf)
+    want = Counter(db.sql(f"select {', '.join(found.columns)} from ({queries.ORACLE_SQL[name]})").fetchall())
+    assert Counter(map(tuple, found.collect())) == want
+    assert {r[2] for r in want} == {"DUPLICATE_SYMBOL_ID", "DUPLICATE_SYMBOL_NAME", "OVERLAPPING_SYMBOL_WRITE", "REFERENCE_TO_DELETED_SYMBOL"}
+
+
+def test_report_ranks_reference_conflicts(spark):
+    s = spark.createDataFrame([link("s", 1, "r", "a", "x"), op("s", 2, "DeleteReference", reference_id="q"), op("s", 3, "UpdateSymbol", symbol_id="x", name="n")], OPERATION)
+    t = spark.createDataFrame([link("t", 1, "r", "b", "y"), op("t", 2, "DeleteReference", reference_id="q"), op("t", 3, "UpdateSymbol", symbol_id="x", name="m")], OPERATION)
+    got = merge.ranked(merge.conflicts(s, t)).orderBy("rank").collect()
+    assert [(r["rank"], r["reason"], r["source_op"], r["target_op"]) for r in got] == [(1, "DUPLICATE_REFERENCE_ID", "s1", "t1"), (2, "OVERLAPPING_REFERENCE_WRITE", "s2", "t2"), (3, "OVERLAPPING_SYMBOL_WRITE", "s3", "t3")]
