@@ -15,8 +15,11 @@ from arborlog.llm.common import small_batches
 BUCKETS, GRAMS = 1 << 15, (1, 2, 3)
 #: About so many labelled rows are fitted on, picked by a hash of doc_id; a documented bound.
 FIT_ROWS = 20_000
-#: Most languages; bounds the matrix at MOST_LANGS * BUCKETS * 4 bytes (32 MB).
-MOST_LANGS = 256
+#: Of each language about so many rows at least, or all that it has, whatever the share of the others.
+LEAST_ROWS = 200
+#: So many languages have BUCKETS buckets each, which bounds the matrix at MOST_LANGS * BUCKETS * 4 bytes (32 MB). Each doubling
+#: halves the buckets, down to LEAST_BUCKETS; still more languages than that leaves room for (8,192) are refused.
+MOST_LANGS, LEAST_BUCKETS = 256, 1 << 10
 #: What the score is a share of: so many n-grams of evidence count at most, so that long texts don't all score 1.
 EVIDENCE = 200.0
 _LETTER = re.compile(r"[^\W\d_]")
@@ -48,6 +51,20 @@ def grams(text: str) -> np.ndarray:
     return out
 
 
+def folded(counts: np.ndarray, buckets: int) -> np.ndarray:
+    """Counts of BUCKETS buckets in fewer: by the first bits of the same hash."""
+    return counts if len(counts) == buckets else counts.reshape(buckets, -1).sum(axis=1)
+
+
+def buckets_for(langs: int) -> int:
+    n = BUCKETS
+    while langs * n > MOST_LANGS * BUCKETS:
+        n //= 2
+    if n < LEAST_BUCKETS:
+        raise ValueError(f"{langs} languages are more than the {MOST_LANGS * BUCKETS // LEAST_BUCKETS} that can be told apart")
+    return n
+
+
 class Model:
     """Log probabilities of buckets (rows) by language (columns), and log priors."""
 
@@ -60,7 +77,7 @@ class Model:
     def __call__(self, text: str | None) -> tuple[str, float]:
         if not self.langs or not has_letter(text):
             return "und", 0.0
-        counts = grams(text)
+        counts = folded(grams(text), len(self.logp))
         used = np.flatnonzero(counts)
         total = counts[used].sum()
         score = counts[used].astype(np.float64) @ self.logp[used] * min(1.0, EVIDENCE / total) + self.prior
@@ -74,38 +91,48 @@ def learnable(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Fit on about ``rows`` rows with a lang, of those that are not held out, picked by a hash of doc_id.
+    """Fit on about ``rows`` rows with a lang and a text, of those that are not held out, picked by a hash of doc_id.
 
-    Each partition adds up a (language, bucket) table, the tables are summed by Spark, and the driver
-    gets at most MOST_LANGS * BUCKETS sums. More languages: the most frequent ones are learned.
+    Each language gives its share of them, but at least about LEAST_ROWS, or all that it has: a rare one is learned however large the
+    others are. A language without any text isn't listed. Each partition adds up a (language, bucket) table, the tables
+    are summed by Spark, and the driver gets at most MOST_LANGS * BUCKETS sums, whatever the number of languages.
     """
     small_batches(docs.sparkSession)
-    known = docs.where(F.col("lang").isNotNull() & F.coalesce(learnable(F.col("doc_id")), F.lit(True)))
-    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
-    total = sum(r["count"] for r in langs)
-    if not total:
+    lang, text = F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
+    known = docs.where(F.col("lang").isNotNull() & F.coalesce(learnable(F.col("doc_id")), F.lit(True))).select("doc_id", lang, text)
+    most = MOST_LANGS * BUCKETS // LEAST_BUCKETS
+    langs = known.groupBy("lang").agg(F.count("*").alias("count"), F.count(F.when(F.length("text") > 0, 1)).alias("texts")).where("texts > 0").limit(most + 1).collect()
+    if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
+    buckets = buckets_for(len(langs))
     names = sorted(r["lang"] for r in langs)
     number = {x: i for i, x in enumerate(names)}
-    part = min(1.0, rows / total)
-    seen = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) < int(part * (1 << 30))) if part < 1 else known
+    total = sum(r["texts"] for r in langs)
+    parts = {r["lang"]: min(1.0, max(rows / total, LEAST_ROWS / r["texts"])) for r in langs}
+    seen = known.where(F.length("text") > 0)
+    if min(parts.values()) < 1:
+        # at most ``most`` rows
+        share = docs.sparkSession.createDataFrame([(x, int(p * (1 << 30))) for x, p in parts.items()], "lang string, below long")
+        seen = seen.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) < F.col("below"))
 
     def run(batches):
         table: dict[int, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if text and lang in number:
-                    k = number[lang]
-                    table[k] = grams(text) if k not in table else table[k] + grams(text)
+                k = number[lang]
+                found = folded(grams(text), buckets)
+                table[k] = found if k not in table else table[k] + found
         for k, counts in table.items():
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k)), pa.array(used), pa.array(counts[used])], ["k", "bucket", "n"])
 
-    sums = seen.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, "k long, bucket long, n long")
-    counts = np.zeros((BUCKETS, len(names)))
+    sums = seen.select("lang", "text").mapInArrow(run, "k long, bucket long, n long")
+    counts = np.zeros((buckets, len(names)))
     for r in sums.groupBy("k", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["bucket"], r["k"]] = r["n"]
-    return Model(names, counts, np.array([next(r["count"] for r in langs if r["lang"] == x) for x in names], dtype=float))
+    docs_of = {r["lang"]: r["count"] for r in langs}
+    learned = np.flatnonzero(counts.sum(axis=0))
+    return Model([names[k] for k in learned], counts[:, learned], np.array([docs_of[names[k]] for k in learned], dtype=float))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

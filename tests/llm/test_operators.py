@@ -204,6 +204,31 @@ def test_language(spark, docs, none, rows):
     assert kept.columns == docs.columns and kept.where("text is null or text = '1234 !!'").count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    """One language has nearly all rows; a rare one, one of empty texts only, and one with more rows beside it."""
+    words = {"en": "the of and to house water with", "qq": "zyx wvu ttss rrqq ppoo nnmm", "de": "der die und nicht haus wasser mit"}
+    text = lambda x, i: " ".join(random.Random(f"{x}{i}").choices(words[x].split(), k=25))
+    made = [(i, text("en", i % 50), "en") for i in range(3000)] + [(5000 + i, text("qq", i), "qq") for i in range(8)] + [(6000 + i, "", "empty") for i in range(30)] + [(7000 + i, text("de", i), "de") for i in range(300)]
+    table = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    model = langid.fit(table, rows=4)
+    assert model.langs == ["de", "en", "qq"] and (model.logp.max(axis=0) > model.logp.min(axis=0)).all()
+    assert [model(text(x, 99_999))[0] for x in ("de", "en", "qq")] == ["de", "en", "qq"]
+    whole = langid.fit(table)
+    assert (model.logp[:, 2] == whole.logp[:, 2]).all()  # all rows of the rare one, whatever the others' sample
+
+
+def test_many_languages_are_all_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 4)
+    rng = random.Random(1)
+    words = {f"l{k:02d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(6)] for k in range(12)}
+    table = spark.createDataFrame([(12 * i + k, " ".join(rng.choices(words[x], k=30)), x) for i in range(9) for k, x in enumerate(sorted(words))], "doc_id long, text string, lang string")
+    model = langid.fit(table)
+    assert model.langs == sorted(words) and len(model.logp) == langid.BUCKETS // 4
+    assert all(model(" ".join(rng.choices(words[x], k=30)))[0] == x for x in words)
+    with pytest.raises(ValueError, match="languages"):
+        langid.buckets_for(4 * langid.BUCKETS // langid.LEAST_BUCKETS + 1)
+
+
 def test_grams_of_long_text_are_whole():
     rng = random.Random(2)
     t = "".join(rng.choice("abcé 1") for _ in range((1 << 20) + 500))
