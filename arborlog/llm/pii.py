@@ -70,15 +70,21 @@ _ODD = re.compile("[" + "".join(_LOOKALIKE) + "".join(_HIDDEN) + "‐-―․。
 _DIGIT = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _NUMBER = "(?:" + "|".join(_DIGIT) + ")"
 _SPELLED = re.compile(rf"(?<![a-z])(?:{_NUMBER}(?![a-z])|(?<![0-9])[0-9]++)(?:[ ,.\-]{{1,2}}(?:{_NUMBER}(?![a-z])|[0-9]++|dot(?![a-z])|point(?![a-z]))){{3,}}")
-_TOKEN = re.compile(rf"{_NUMBER}|[0-9]|dot|point|.", re.S)
+_PIECE = re.compile(rf"{_NUMBER}|[0-9]++|dot|point")
+_SIGN = re.compile(r"(?:\+|(?<![a-z])plus )\Z")
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _MARKS = re.compile(rf"{_OPEN}\s*(at|dot|punkt|point)\s*{_CLOSE}\s*")
 # a bare address: local part, "at" or @, and names joined by "dot" or a full stop
-_BARE = re.compile(r"(?<![a-z0-9._%+-])[a-z0-9][a-z0-9._%+-]*(?: at |@)[a-z0-9-]+(?:(?: dot |\.)[a-z0-9-]+)+")
+# (at most 31 "dot" in the local part, which has 64 characters at most)
+_BARE = re.compile(r"(?<![a-z0-9._%+-])([a-z0-9][a-z0-9._%+-]*+(?: dot [a-z0-9._%+-]++){0,31})(?: at |@)([a-z0-9-]++(?:(?: dot |\.)[a-z0-9-]++)+)")
 _JOIN = re.compile(r" (at|dot) ")
-# Last names of addresses that are spelled out without any bracket.
+# Last names of addresses that may be words too; any other word of letters is one unless it is among _PROSE.
 _LAST = frozenset("com org net edu gov mil int info biz io co uk us ca au de fr es it nl eu ch at be se no dk fi pl pt ru jp cn in br mx ar me tv dev app ai".split())
 
+# Words of prose that are no part of a spelled address, and those of them that are last names of some countries.
+_PROSE = frozenset("a an and any are as been but by can did do for from had has have he her here him his how if into is its like my near not of off on one or our over she so some than that the their them then there these they this those to under was we were what when where which while who why will with you your".split())
+_PROSE_LAST = _PROSE - frozenset("as by do is my so to".split())
+
 
 class Cover:
     """Disjoint ranges in order, so that a text of a million ranges can be asked about each of them."""
@@ -168,6 +174,80 @@ def _lower(text: str) -> str:
     return low if len(low := text.lower()) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
+def _joins(low: str, m: Mapped) -> list[tuple[int, int, str]]:
+    """Edits that turn "at" and "dot" inside bare addresses into @ and full stops."""
+    edits, x = [], _BARE.search(low)
+    while x:
+        names = x[1].split(" dot ")
+        own = next((i for i in range(len(names), 0, -1) if names[i - 1] in _PROSE), 0)  # prose before the address
+        start = x.start() + sum(len(n) + len(" dot ") for n in names[: min(own, len(names) - 1)])
+        found = low[start : x.end()]
+        labels = re.split(r" dot |\.", x[2])
+        spelled = labels[-1].isalpha() and len(labels[-1]) > 1 and labels[-1] not in _PROSE_LAST and _PROSE.isdisjoint([*labels[:-1], names[-1]])
+        if m.touched(start, x.end()) or " dot " in found and ("@" in found or labels[-1] in _LAST or spelled):
+            edits += [(start + j.start(), start + j.end(), "@" if j[1] == "at" else ".") for j in _JOIN.finditer(found)]
+            x = _BARE.search(low, x.end())
+        else:
+            x = _BARE.search(low, x.end(1))
+    return edits
+
+
+def _is_one(digits: str, signed: bool) -> bool:
+    """Is the whole of this one identifier?"""
+    text = "+" * signed + digits
+    return len(text) <= 64 and any((s, e) == (0, len(text)) for _, s, e in base_spans(text))
+
+
+def _numbers(low: str) -> list[tuple[int, int, str]]:
+    """Edits that turn runs of spelled digits into digits.
+
+    A run that isn't one identifier is tried in parts: cut at commas, between plain and spelled numbers, and between plain
+    numbers. Neighbouring parts are tried together, most of them first, if each has three characters or more; a long list of small
+    numbers would hold cards by chance otherwise. What is left of it is one number as it stands.
+    """
+    edits = []
+
+    def keep(parts: list, signed: bool, whole: bool) -> bool:
+        """Take these parts as one number, if they are one identifier, or else (not whole) might hold one."""
+        digits = "".join(p[2] for p in parts)
+        if sum(p[3] for p in parts) < 3 or not (_is_one(digits, signed) if whole else "." in digits or 7 <= len(digits) <= 19):
+            return False
+        edits.append((parts[0][0], parts[-1][1], digits))
+        return True
+
+    for x in _SPELLED.finditer(low):
+        parts, last, at = [], None, x.start()  # start, end, digits, number of spelled ones
+        for t in _PIECE.finditer(low, *x.span()):
+            kind = "dot" if t[0] in ("dot", "point") else "plain" if t[0].isdigit() else "word"
+            if not parts or "," in low[at : t.start()] or kind == "plain" and last == "plain" or {kind, last} == {"plain", "word"}:
+                parts.append([t.start(), t.end(), [], 0])
+            parts[-1][1] = at = t.end()
+            parts[-1][2].append("." if kind == "dot" else _DIGIT.get(t[0], t[0]))
+            parts[-1][3] += kind == "word"
+            last = kind
+        for p in parts:
+            p[2] = "".join(p[2])
+        signed = _SIGN.search(low, max(0, x.start() - 6), x.start()) is not None
+        if keep(parts, signed, True):
+            continue
+        left = i = 0
+        while i < len(parts):
+            for j in range(min(len(parts), i + 24), i, -1):
+                plus = signed and i == 0
+                if (j == i + 1 or all(len(p[2]) > 2 for p in parts[i + plus : j])) and keep(parts[i:j], plus, True):
+                    if left < i:
+                        one = edits.pop()
+                        keep(parts[left:i], False, False)
+                        edits.append(one)
+                    left = i = j
+                    break
+            else:
+                i += 1
+        if left < len(parts):
+            keep(parts[left:], False, False)
+    return edits
+
+
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Identifiers that show only after normalising; none overlaps a plain one, and each covers a disguise."""
     m = Mapped(text)
@@ -178,24 +258,14 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
         m.replace(_marks(low))
         low = _lower(m.text)
         if " dot " in low or " at " in low and m.changed.start:
-            edits = []
-            for x in _BARE.finditer(low):
-                if m.touched(*x.span()) or " dot " in x[0] and ("@" in x[0] or re.split(r" dot |\.", x[0])[-1] in _LAST):
-                    edits += [(x.start() + j.start(), x.start() + j.end(), "@" if j[1] == "at" else ".") for j in _JOIN.finditer(x[0])]
-            m.replace(edits)
+            m.replace(_joins(low, m))
             low = _lower(m.text)
     if sum(low.count(w) for w in _DIGIT if w != "oh") >= 3:
-        edits = []
-        for x in _SPELLED.finditer(low):
-            tokens = _TOKEN.findall(x[0])
-            if sum(t in _DIGIT for t in tokens) >= 3:
-                digits = "".join("." if t in ("dot", "point") else _DIGIT.get(t, t if t.isdigit() else "") for t in tokens)
-                edits.append((x.start(), x.end(), digits))
-        m.replace([e for e in edits if "." in e[2] or 7 <= len(e[2]) <= 19])
+        m.replace(_numbers(low))
     if not m.changed.start:
         return []
     # a spelled phone number has no sign that a detector can hold on to but its plus
-    m.replace([(x.start(), x.end(), "+") for x in re.finditer(r"(?<![A-Za-z])plus (?=[0-9])", m.text)])
+    m.replace([(x.start(), x.end(), "+") for x in re.finditer(r"(?<![a-z])plus (?=[0-9])", _lower(m.text))])
     taken, out = Cover((s, e) for _, s, e in base), []
     for kind, s, e in base_spans(m.text):
         s, e = m.start[s], m.end[e - 1]

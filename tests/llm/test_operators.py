@@ -103,6 +103,28 @@ def test_pii_spans(text, found):
     assert pii._said(pii.find_all(text)[1]) == found
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("ask jane at firm dot kr or joe at shop dot online.", "email:4:23,email:27:49"),
+        ("ask john dot smith at example dot com now", "email:4:37"),
+        ("the dot product at node dot the next, put a dot here at the dot on it", ""),
+        ("meet at this dot and john dot doe at firm dot kr", "email:21:48"),
+        ("Plus one five five five one two three four five six seven ok", "phone:0:57"),
+        ("since 2019 one nine two dot one six eight dot zero dot one", "ip:11:58"),
+        ("one nine two dot one six eight dot zero dot one, one zero dot zero dot zero dot one", "ip:0:47,ip:49:83"),
+        ("plus four one five, five five five, one two three four", "phone:0:54"),
+    ],
+)
+def test_pii_of_spelled_spans(text, found):
+    assert pii._said(pii.find_all(text)[1]) == found
+
+
+def test_pii_of_long_spelled_texts_takes_linear_time():
+    assert pii.find_all("x dot " * 100_000 + "one, two, 3 " * 50_000)[1] == []
+    assert len(pii.find_all("2019 one dot two dot three dot four, " * 10_000)[1]) == 10_000
+
+
 def plain(text):
     """The contract's patterns as they stand."""
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
