@@ -447,13 +447,14 @@ def rename_detection(spark, sf):
 
 @query()
 def move_detection(spark, sf):
-    """Every third customer deleted with its orders and made anew under another nation: one plan for each nation."""
+    """Every third customer deleted with its orders and made anew under another nation: one plan for each nation, over all its customers and orders."""
     orders, customers = derive.table(spark, sf, "orders"), derive.table(spark, sf, "customer")
     plan = F.concat(F.lit("plan:"), "c_nationkey")
-    c = customers.where("c_custkey % 3 = 0").select(plan.alias("plan_id"), F.concat(F.lit("customer:"), "c_custkey").alias("id"), F.concat(F.lit("nation:"), "c_nationkey").alias("p"), F.lit("class").alias("kind"), F.col("c_name").alias("name"), F.lit(None).cast("string").alias("body"), F.lit(0).alias("level"), F.col("c_custkey").alias("k"))
-    o = orders.join(customers.where("c_custkey % 3 = 0"), F.col("o_custkey") == F.col("c_custkey")).select(plan.alias("plan_id"), F.concat(F.lit("order:"), "o_orderkey").alias("id"), F.concat(F.lit("customer:"), "c_custkey").alias("p"), F.lit("method").alias("kind"), F.concat(F.lit("o"), "o_orderkey").alias("name"), F.col("o_orderpriority").alias("body"), F.lit(1).alias("level"), F.col("o_orderkey").alias("k"))
-    nodes = c.unionAll(o)
-    base = nodes.select("plan_id", F.col("id").alias("symbol_id"), F.col("p").alias("parent_id"), "kind", "name", "body", F.lit("{}").alias("metadata"))
+    c = customers.select(plan.alias("plan_id"), F.concat(F.lit("customer:"), "c_custkey").alias("id"), F.concat(F.lit("nation:"), "c_nationkey").alias("p"), F.lit("class").alias("kind"), F.col("c_name").alias("name"), F.lit(None).cast("string").alias("body"), F.lit(0).alias("level"), F.col("c_custkey").alias("k"), F.col("c_custkey").alias("customer"))
+    o = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(plan.alias("plan_id"), F.concat(F.lit("order:"), "o_orderkey").alias("id"), F.concat(F.lit("customer:"), "c_custkey").alias("p"), F.lit("method").alias("kind"), F.concat(F.lit("o"), "o_orderkey").alias("name"), F.col("o_orderpriority").alias("body"), F.lit(1).alias("level"), F.col("o_orderkey").alias("k"), F.col("c_custkey").alias("customer"))
+    known = c.unionAll(o)
+    nodes = known.where("customer % 3 = 0")
+    base = known.select("plan_id", F.col("id").alias("symbol_id"), F.col("p").alias("parent_id"), "kind", "name", "body", F.lit("{}").alias("metadata"))
     none = F.lit(None).cast("string")
     deletes = nodes.select("plan_id", ((2 - F.col("level")) * 10**12 + F.col("k")).alias("seq"), F.lit("DeleteSymbol").alias("op_type"), F.col("id").alias("symbol_id"), none.alias("parent_id"), none.alias("kind"), none.alias("name"), none.alias("body"), none.alias("metadata"))
     parent = F.when(F.col("level") == 0, F.lit("nation:99")).otherwise(F.concat(F.lit("new:"), "p"))

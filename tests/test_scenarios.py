@@ -211,3 +211,14 @@ def test_report_ranks_reference_conflicts(spark):
     t = spark.createDataFrame([link("t", 1, "r", "b", "y"), op("t", 2, "DeleteReference", reference_id="q"), op("t", 3, "UpdateSymbol", symbol_id="x", name="m")], OPERATION)
     got = merge.ranked(merge.conflicts(s, t)).orderBy("rank").collect()
     assert [(r["rank"], r["reason"], r["source_op"], r["target_op"]) for r in got] == [(1, "DUPLICATE_REFERENCE_ID", "s1", "t1"), (2, "OVERLAPPING_REFERENCE_WRITE", "s2", "t2"), (3, "OVERLAPPING_SYMBOL_WRITE", "s3", "t3")]
+
+
+def test_move_detection_is_given_all_customers(spark, monkeypatch):
+    sf, bases = "/root/testdata/sf0.001", []
+    detect = moves.detect_moves
+    monkeypatch.setattr(moves, "detect_moves", lambda plans, base: bases.append(base) or detect(plans, base))
+    found = queries.QUERIES["move_detection"](spark, sf)
+    want = spark.read.parquet(f"{sf}/customer.parquet").count() + spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert bases[0].count() == want
+    moved = {r["symbol_id"] for r in found.where("op_type = 'MoveSymbol'").collect()}
+    assert moved == {f"customer:{r['c_custkey']}" for r in spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey % 3 = 0").collect()}
