@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arborlog.functions import sha256_hex
 from arborlog.operators import hierarchy
+from arborlog.operators.lineage import settled
 
 IMPORTER_VERSION = "source-snapshot-v1"
 PHASES = {"DeleteReference": 1, "DeleteSymbol": 2, "UpdateSymbol": 3, "CreateSymbol": 4, "CreateReference": 5}
@@ -38,17 +39,19 @@ def recover(base: DataFrame, base_refs: DataFrame, desired: DataFrame, desired_r
     deleted or their source changed; desired ones that base lacks are made, all or only from changed symbols.
     seq orders a phase; deletions go from the deepest level up, so that each symbol goes after its children.
     """
+    base, desired = settled(base), settled(desired)
     files = base.where("parent_id is null and kind = 'file'").select("symbol_id") if scope is None else scope.select(F.col("file_id").alias("symbol_id")).distinct()
-    target = hierarchy.subtree(base, files).select("symbol_id").distinct()
-    missing = target.join(desired.select("symbol_id"), "symbol_id", "left_anti")
-    gone = hierarchy.subtree(base, missing).select("symbol_id").distinct()
-    depth = hierarchy.root_ancestor(base, base.join(gone, "symbol_id", "left_semi")).select("symbol_id", "depth")
-    updates = changed_fields(base.join(target, "symbol_id", "left_semi"), desired)
+    target = settled(hierarchy.inside(base, files).select("symbol_id"))
+    missing = settled(target.join(desired.select("symbol_id"), "symbol_id", "left_anti"))
+    gone = settled(hierarchy.inside(base, missing).select("symbol_id"))
+    depth = hierarchy.root_ancestor(base).join(gone, "symbol_id", "left_semi").select("symbol_id", "depth")
+    updates = settled(changed_fields(base.join(target, "symbol_id", "left_semi"), desired))
     creates = desired.join(base.select("symbol_id"), "symbol_id", "left_anti")
     if create_scope is not None:
-        inside = hierarchy.nearest_file(desired).join(create_scope.select("file_id").distinct(), "file_id", "left_semi").select("symbol_id")
-        creates = creates.join(inside, "symbol_id", "left_semi")
-    changed = gone.unionAll(updates.select("symbol_id")).unionAll(creates.select("symbol_id")).distinct()
+        within = hierarchy.nearest_file(desired).join(create_scope.select("file_id").distinct(), "file_id", "left_semi").select("symbol_id")
+        creates = creates.join(within, "symbol_id", "left_semi")
+    creates = settled(creates)
+    changed = gone.unionAll(updates.select("symbol_id")).unionAll(creates.select("symbol_id"))
     lost = base_refs.join(desired_refs.select("reference_id"), "reference_id", "left_anti")
     at = lambda ids, end: F.col(end) == ids
     c, g = changed.select(F.col("symbol_id").alias("x")), gone.select(F.col("symbol_id").alias("x"))
@@ -114,6 +117,21 @@ def changed_paths(base: DataFrame, head: DataFrame, since: DataFrame) -> DataFra
     return paths(base).unionAll(paths(head)).distinct()
 
 
+def delete_files(symbols: DataFrame, references: DataFrame, files: DataFrame) -> DataFrame:
+    """The plan (phase, seq, op_type, ...) that takes files(symbol_id) out: references at any of their symbols, then the symbols, children first.
+
+    References go in order of (ordinal, id), symbols from the deepest level up, so that each goes after its children.
+    """
+    gone = settled(hierarchy.inside(symbols, files).select("symbol_id", "depth"))
+    ids = gone.select(F.col("symbol_id").alias("x"))
+    cut = references.join(ids, F.col("from_symbol_id") == F.col("x"), "left_semi").unionAll(references.join(ids, F.col("to_symbol_id") == F.col("x"), "left_semi")).select("reference_id", "ordinal").distinct()
+    born = gone.join(symbols.select("symbol_id", "ordinal"), "symbol_id")
+    number = lambda c: F.lpad(c.cast("string"), 20, "0")
+    links = _plan(cut, "DeleteReference", F.concat(number(F.col("ordinal")), F.lit("/"), F.col("reference_id")), reference_id=F.col("reference_id"))
+    deepest_first = F.concat(number(F.lit(1 << 40) - F.col("depth")), F.lit("/"), number(F.col("ordinal")), F.lit("/"), F.col("symbol_id"))
+    return links.unionAll(_plan(born, "DeleteSymbol", deepest_first, symbol_id=F.col("symbol_id")))
+
+
 def landing(touched: DataFrame, rendered: DataFrame) -> DataFrame:
     """touched(path) and rendered(path, content) -> (path, action, content): write what is rendered, delete touched paths that aren't."""
     return touched.select("path").distinct().join(rendered.select("path", "content"), "path", "left").select("path", F.when(F.col("content").isNull(), "delete").otherwise("write").alias("action"), "content")

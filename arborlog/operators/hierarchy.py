@@ -1,88 +1,176 @@
-"""The containment forest: ancestors, files, paths, subtrees, orders of deletion. Recursive queries with a bound on depth."""
+"""The containment forest: ancestors, files, paths, subtrees, orders of deletion.
+
+All climbs go by doubling: after k rounds a pointer spans up to 2**k steps, so a tree of depth d takes log2(d) joins of the whole
+table, whatever its shape, and each round is settled before the next one reads it. A parent that isn't there ends a climb;
+parents that form a cycle are an error.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Deepest nesting.
-MAX_DEPTH = 10_000
+from arborlog.operators.lineage import settled
 
 
-def _recursive(spark) -> None:
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
 
+def _bounded(rounds: int, symbols: DataFrame) -> None:
+    """No chain of n symbols is longer than n steps, so a pointer that is still open beyond that runs in a circle."""
+    if rounds >= 4 and 2 ** (rounds - 1) > symbols.count():
+        raise ValueError("the parents of the symbols form a cycle")
 
-def ancestors(symbols: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """(symbol_id, ancestor_id, depth): each symbol with itself and all above it. A parent that isn't there ends the climb."""
-    spark = symbols.sparkSession
-    _recursive(spark)
-    return spark.sql(
-        f"""
-        with recursive up(symbol_id, ancestor_id, next, depth) max recursion level {MAX_DEPTH} as (
-          select symbol_id, symbol_id, parent_id, 0 from {{start}}
-          union all
-          select u.symbol_id, p.symbol_id, p.parent_id, u.depth + 1 from up u join {{tree}} p on p.symbol_id = u.next
-          where u.depth < {MAX_DEPTH - 1}
+
+def _linked(rows: DataFrame) -> DataFrame:
+    """(id, up): those of rows(symbol_id, parent_id) with a parent that is there."""
+    ids = rows.select(F.col("symbol_id").alias("up"))
+    return rows.where("parent_id is not null").select(F.col("symbol_id").alias("id"), F.col("parent_id").alias("up")).join(ids, "up", "left_semi")
+
+
+def climbed(symbols: DataFrame, stop: Column, part: Column | None = None, sep: str = "/") -> DataFrame:
+    """(symbol_id, end_id, depth, stopped[, path]): the first symbol at or above each one for which ``stop`` holds, else its root.
+
+    stopped: does ``stop`` hold there? depth: steps up to it. part: a string of each symbol; path has them from the end down to the
+    symbol, joined by ``sep``.
+    """
+    extra = [] if part is None else ["path"]
+    up = F.col("parent_id")
+    rows = settled(symbols.select("symbol_id", "parent_id", F.coalesce(stop, F.lit(False)).alias("stopped"), *([] if part is None else [part.alias("path")])))
+    parents = rows.select(F.col("symbol_id").alias("p_id"))
+    now = settled(
+        rows.join(parents, up == F.col("p_id"), "left").select(
+            "symbol_id",
+            F.when(~F.col("stopped") & F.col("p_id").isNotNull(), up).otherwise(F.col("symbol_id")).alias("end_id"),
+            F.when(~F.col("stopped") & F.col("p_id").isNotNull(), 1).otherwise(0).cast("long").alias("depth"),
+            "stopped",
+            (~F.col("stopped") & F.col("p_id").isNotNull()).alias("open"),
+            *extra,
         )
-        select symbol_id, ancestor_id, depth from up
-        """,
-        start=(symbols if of is None else of).select("symbol_id", "parent_id"),
-        tree=symbols.select("symbol_id", "parent_id"),
     )
+    rounds = 0
+    while not (todo := now.where("open")).isEmpty():
+        rounds += 1
+        _bounded(rounds, rows)
+        there = now.select(*[F.col(c).alias(f"t_{c}") for c in now.columns])
+        path = [] if part is None else [F.concat("t_path", F.lit(sep), "path").alias("path")]
+        # the path of an open pointer ends below the symbol that it points to
+        on = todo.join(there, F.col("end_id") == F.col("t_symbol_id")).select("symbol_id", F.col("t_end_id").alias("end_id"), (F.col("depth") + F.col("t_depth")).alias("depth"), F.col("t_stopped").alias("stopped"), F.col("t_open").alias("open"), *path)
+        now = settled(now.where("not open").unionAll(on))
+    return now.select("symbol_id", "end_id", "depth", "stopped", *extra)
+
+
+def closure(links: DataFrame, carry: dict[str, tuple] | None = None) -> DataFrame:
+    """links(id, up, ...), at most one for each id -> (id, up, depth, ...): all pairs of an id and what is above it, without itself.
+
+    carry: columns of the links to combine along the way: name -> function of the upper and the lower part.
+    """
+    carry = carry or {}
+    first = settled(links.select("id", "up", F.lit(1).cast("long").alias("depth"), *carry))
+    pairs, jump, rounds = first, first, 0
+    while not jump.isEmpty():
+        rounds += 1
+        _bounded(rounds, first)
+        far = lambda x: x.select(*[F.col(c).alias(f"t_{c}") for c in x.columns])
+
+        def over(x):
+            columns = ["id", F.col("t_up").alias("up"), (F.col("depth") + F.col("t_depth")).alias("depth"), *[f(F.col(f"t_{c}"), F.col(c)).alias(c) for c, f in carry.items()]]
+            return jump.join(far(x), F.col("up") == F.col("t_id")).select(*columns)  # noqa: B023
+
+        pairs, jump = settled(pairs.unionAll(over(pairs))), settled(over(jump))
+    return pairs
+
+
+def ancestors(symbols: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(symbol_id, ancestor_id, depth): each symbol, or each of ``of``, with itself and all above it.
+
+    All symbols: by doubling. Given ones: step by step from those alone, so that few of them cost little.
+    """
+    if of is None:
+        rows = settled(symbols.select("symbol_id", "parent_id"))
+        own = rows.select("symbol_id", F.col("symbol_id").alias("ancestor_id"), F.lit(0).cast("long").alias("depth"))
+        return own.unionAll(closure(_linked(rows)).select("id", "up", "depth"))
+    tree = settled(symbols.select(F.col("symbol_id").alias("p_id"), F.col("parent_id").alias("p_up")))
+    level = settled(of.select("symbol_id", F.col("symbol_id").alias("ancestor_id"), F.col("parent_id").alias("next"), F.lit(0).cast("long").alias("depth")))
+    found, rounds = level, 0
+    while True:
+        rounds += 1
+        if rounds % 1024 == 0 and rounds > tree.count():
+            raise ValueError("the parents of the symbols form a cycle")
+        level = settled(level.join(tree, F.col("next") == F.col("p_id")).select("symbol_id", F.col("p_id").alias("ancestor_id"), F.col("p_up").alias("next"), (F.col("depth") + 1).alias("depth")))
+        if level.isEmpty():
+            return found.select("symbol_id", "ancestor_id", "depth")
+        found = found.unionAll(level)
 
 
 def nearest_file(symbols: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """(symbol_id, file_id): the nearest symbol of kind file, itself included."""
+    """(symbol_id, file_id): the nearest symbol of kind file, itself included; symbols that are in no file give no row."""
+    if of is None:
+        return climbed(symbols, F.col("kind") == "file").where("stopped").select("symbol_id", F.col("end_id").alias("file_id"))
     files = symbols.where("kind = 'file'").select(F.col("symbol_id").alias("ancestor_id"))
     return ancestors(symbols, of).join(files, "ancestor_id").groupBy("symbol_id").agg(F.min_by("ancestor_id", "depth").alias("file_id"))
 
 
-def root_ancestor(symbols: DataFrame, of: DataFrame | None = None) -> DataFrame:
+def root_ancestor(symbols: DataFrame) -> DataFrame:
     """(symbol_id, root_id, depth): the last symbol above."""
-    return ancestors(symbols, of).groupBy("symbol_id").agg(F.max_by("ancestor_id", "depth").alias("root_id"), F.max("depth").cast("long").alias("depth"))
+    return climbed(symbols, F.lit(False)).select("symbol_id", F.col("end_id").alias("root_id"), "depth")
 
 
-def symbol_path(symbols: DataFrame, of: DataFrame | None = None, sep: str = "/") -> DataFrame:
+def symbol_path(symbols: DataFrame, sep: str = "/") -> DataFrame:
     """(symbol_id, path): the names from the root to the symbol."""
-    names = symbols.select(F.col("symbol_id").alias("ancestor_id"), F.col("name").alias("part"))
-    steps = ancestors(symbols, of).join(names, "ancestor_id")
-    return steps.groupBy("symbol_id").agg(F.expr(f"listagg(part, '{sep}') within group (order by depth desc)").alias("path"))
+    return climbed(symbols, F.lit(False), F.col("name"), sep).select("symbol_id", "path")
+
+
+def breadcrumb(symbols: DataFrame, of: DataFrame) -> DataFrame:
+    """(symbol_id, ancestor_id, name, kind, place): the way from the root (place 0) down to each symbol of ``of``, itself the last."""
+    names = symbols.select(F.col("symbol_id").alias("ancestor_id"), "name", "kind")
+    steps = ancestors(symbols, of)
+    last = Window.partitionBy("symbol_id")
+    return steps.withColumn("place", F.max("depth").over(last) - F.col("depth")).join(names, "ancestor_id").select("symbol_id", "ancestor_id", "name", "kind", "place")
 
 
 def subtree_sizes(symbols: DataFrame) -> DataFrame:
-    """(symbol_id, size): symbols in each subtree, its root included."""
-    return ancestors(symbols).groupBy(F.col("ancestor_id").alias("symbol_id")).agg(F.count("*").alias("size"))
+    """(symbol_id, size): symbols in each subtree, its root included.
+
+    After k rounds a symbol knows how many are fewer than 2**k steps below; those further down, up to twice as far, are what the symbols
+    exactly 2**k below it know.
+    """
+    rows = settled(symbols.select("symbol_id", "parent_id"))
+    jump, size, rounds = settled(_linked(rows)), rows.select(F.col("symbol_id").alias("id"), F.lit(1).cast("long").alias("n")), 0
+    while not jump.isEmpty():
+        rounds += 1
+        _bounded(rounds, rows)
+        more = jump.join(size, "id").groupBy("up").agg(F.sum("n").alias("more"))
+        size = settled(size.join(more, F.col("id") == F.col("up"), "left").select("id", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+        far = jump.select(F.col("id").alias("t_id"), F.col("up").alias("t_up"))
+        jump = settled(jump.join(far, F.col("up") == F.col("t_id")).select("id", F.col("t_up").alias("up")))
+    return size.select(F.col("id").alias("symbol_id"), F.col("n").alias("size"))
+
+
+def inside(symbols: DataFrame, roots: DataFrame) -> DataFrame:
+    """(symbol_id, root_id, depth): symbols in the subtrees of roots(symbol_id), each with the nearest root at or above it."""
+    mark = symbols.join(roots.select(F.col("symbol_id").alias("r_id")).distinct(), F.col("symbol_id") == F.col("r_id"), "left")
+    return climbed(mark, F.col("r_id").isNotNull()).where("stopped").select("symbol_id", F.col("end_id").alias("root_id"), "depth")
 
 
 def subtree(symbols: DataFrame, roots: DataFrame) -> DataFrame:
-    """roots(symbol_id) -> (root_id, symbol_id, depth) of all symbols below and the roots themselves."""
-    spark = symbols.sparkSession
-    _recursive(spark)
-    return spark.sql(
-        f"""
-        with recursive down(root_id, symbol_id, depth) max recursion level {MAX_DEPTH} as (
-          select symbol_id, symbol_id, 0 from {{roots}}
-          union all
-          select d.root_id, c.symbol_id, d.depth + 1 from down d join {{tree}} c on c.parent_id = d.symbol_id
-          where d.depth < {MAX_DEPTH - 1}
-        )
-        select root_id, symbol_id, depth from down
-        """,
-        roots=roots.select("symbol_id"),
-        tree=symbols.select("symbol_id", "parent_id"),
-    )
+    """roots(symbol_id) -> (root_id, symbol_id, depth) of all symbols below and the roots themselves; below several roots: a row for each."""
+    near = settled(inside(symbols, roots))
+    # roots below other roots: the way up from their parent
+    heads = near.where("depth = 0").select("symbol_id").join(symbols.select("symbol_id", "parent_id"), "symbol_id")
+    above = near.select(F.col("symbol_id").alias("parent_id"), F.col("root_id").alias("up"), (F.col("depth") + 1).alias("steps"))
+    chain = closure(heads.join(above, "parent_id").select(F.col("symbol_id").alias("id"), "up", "steps"), {"steps": lambda a, b: a + b})
+    more = near.join(chain.select(F.col("id").alias("root_id"), "up", "steps"), "root_id").select(F.col("up").alias("root_id"), "symbol_id", (F.col("depth") + F.col("steps")).alias("depth"))
+    return near.select("root_id", "symbol_id", "depth").unionAll(more)
 
 
 def tree_order(symbols: DataFrame, roots: DataFrame) -> DataFrame:
     """(root_id, symbol_id, depth, path): path holds (ordinal, kind, name, id) of each step below the root, by which pre-order is ascending order."""
-    steps = subtree(symbols, roots).select("root_id", "symbol_id", "depth")
-    above = ancestors(symbols, symbols.join(steps.select("symbol_id").distinct(), "symbol_id", "left_semi")).withColumnRenamed("depth", "up")
-    keys = symbols.select(F.col("symbol_id").alias("ancestor_id"), F.struct("ordinal", "kind", "name", F.col("symbol_id").alias("id")).alias("key"))
-    joined = steps.join(above, "symbol_id").where("up < depth").join(keys, "ancestor_id")
-    paths = joined.groupBy("root_id", "symbol_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("o"), "key"))), lambda x: x["key"]).alias("path"))
-    none = F.array().cast(paths.schema["path"].dataType)
-    return steps.join(paths, ["root_id", "symbol_id"], "left").withColumn("path", F.coalesce("path", none))
+    key = F.array(F.struct("ordinal", "kind", "name", F.col("symbol_id").alias("id"))).alias("path")
+    keys = settled(symbols.select("symbol_id", "parent_id", key))
+    steps = settled(subtree(symbols, roots))
+    links = keys.join(steps.select("symbol_id").distinct(), "symbol_id", "left_semi").select(F.col("symbol_id").alias("id"), F.col("parent_id").alias("up"), "path").where("up is not null")
+    ways = closure(links, {"path": F.concat}).select(F.col("id").alias("symbol_id"), F.col("up").alias("root_id"), "path")
+    none = F.array().cast(ways.schema["path"].dataType)
+    return steps.join(ways, ["root_id", "symbol_id"], "left").withColumn("path", F.coalesce("path", none))
 
 
 def pre_order(symbols: DataFrame, roots: DataFrame) -> DataFrame:
@@ -102,8 +190,8 @@ def delete_order(symbols: DataFrame, roots: DataFrame) -> DataFrame:
 
 def subgraph(symbols: DataFrame, references: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """files(symbol_id): symbols whose root is one of them, and references with both ends among those."""
-    inside = root_ancestor(symbols).join(files.select(F.col("symbol_id").alias("root_id")), "root_id", "left_semi").select("symbol_id")
-    kept = symbols.join(inside, "symbol_id", "left_semi")
-    ids = inside.select(F.col("symbol_id").alias("s"))
+    within = settled(root_ancestor(symbols).join(files.select(F.col("symbol_id").alias("root_id")), "root_id", "left_semi").select("symbol_id"))
+    kept = symbols.join(within, "symbol_id", "left_semi")
+    ids = within.select(F.col("symbol_id").alias("s"))
     links = references.join(ids, F.col("from_symbol_id") == F.col("s"), "left_semi").join(ids, F.col("to_symbol_id") == F.col("s"), "left_semi")
     return kept, links

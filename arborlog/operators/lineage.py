@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that checkpoints go to: the one that ``spark.checkpoint.dir`` names.
+
+    Where nothing names one, a temporary folder is taken if driver and executors are one process, else this fails: a folder of one
+    machine would be out of the others' sight.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the checkpoint folder that the cluster names (spark.checkpoint.dir); a temporary one only where none is named."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+    """``df`` computed once into the shared folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -14,9 +14,13 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborlog.operators import hierarchy
+from arborlog.operators.lineage import settled
+
 #: hi of a version that nothing closes.
 END = (1 << 63) - 1
-MAX_DEPTH = 100_000
+#: Deepest nesting that a move may climb; more is an error.
+MAX_DEPTH = 10_000
 SYMBOL = ["log_id", "symbol_id", "parent_id", "kind", "name", "body", "metadata", "born", "lo", "hi"]
 
 
@@ -101,6 +105,11 @@ class Replay:
     def references_all(self) -> DataFrame:
         return reference_versions(self.ops)
 
+    def settle(self) -> Replay:
+        """Versions computed once, for the many questions that rules ask of them."""
+        self.symbols_all, self.references_all = settled(self.symbols_all), settled(self.references_all)
+        return self
+
     @cached_property
     def violations(self) -> DataFrame:
         """(log_id, ordinal, op_id, rule, reason): each rule that an operation breaks, given the versions. Only a log's first ordinal is meaningful.
@@ -111,31 +120,33 @@ class Replay:
         c, none = F.col, F.lit(None).cast("string")
         asked = self.ops.where(self.asked)
         of = lambda t: c("op_type") == t
-        q = lambda when, rule, reason, must, topic, key: F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(reason).alias("reason"), F.lit(must).alias("must"), F.lit(topic).alias("topic"), key.alias("key")))
+        q = lambda rule, reason, must, topic, key: F.struct(F.lit(rule).alias("rule"), F.lit(reason).alias("reason"), F.lit(must).alias("must"), F.lit(topic).alias("topic"), key.alias("key"))
+        # three at most for each type; a plain array of cases, as a filtered one would leave generated code
         questions = [
-            q(of("CreateSymbol"), 1, "duplicate symbol id", False, "symbol", c("symbol_id")),
-            q(of("CreateSymbol") & c("parent_id").isNotNull(), 2, "parent symbol does not exist", True, "symbol", c("parent_id")),
-            q(of("CreateSymbol"), 3, "duplicate sibling name", False, "name", _name_key()),
-            q(of("DeleteSymbol"), 1, "cannot delete missing symbol", True, "symbol", c("symbol_id")),
-            q(of("DeleteSymbol"), 2, "symbol still contains children", False, "child", c("symbol_id")),
-            q(of("DeleteSymbol"), 3, "references still point at it", False, "end", c("symbol_id")),
-            q(of("UpdateSymbol"), 1, "cannot update missing symbol", True, "symbol", c("symbol_id")),
-            q(of("MoveSymbol"), 1, "cannot move missing symbol", True, "symbol", c("symbol_id")),
-            q(of("MoveSymbol") & c("parent_id").isNotNull(), 3, "parent symbol does not exist", True, "symbol", c("parent_id")),
-            q(of("CreateReference"), 1, "duplicate reference id", False, "reference", c("reference_id")),
-            q(of("CreateReference"), 2, "reference source does not exist", True, "symbol", c("from_symbol_id")),
-            q(of("CreateReference"), 3, "reference target does not exist", True, "symbol", c("to_symbol_id")),
-            q(of("DeleteReference"), 1, "cannot delete missing reference", True, "reference", c("reference_id")),
+            F.when(of("CreateSymbol"), q(1, "duplicate symbol id", False, "symbol", c("symbol_id")))
+            .when(of("DeleteSymbol"), q(1, "cannot delete missing symbol", True, "symbol", c("symbol_id")))
+            .when(of("UpdateSymbol"), q(1, "cannot update missing symbol", True, "symbol", c("symbol_id")))
+            .when(of("MoveSymbol"), q(1, "cannot move missing symbol", True, "symbol", c("symbol_id")))
+            .when(of("CreateReference"), q(1, "duplicate reference id", False, "reference", c("reference_id")))
+            .when(of("DeleteReference"), q(1, "cannot delete missing reference", True, "reference", c("reference_id"))),
+            F.when(of("CreateSymbol") & c("parent_id").isNotNull(), q(2, "parent symbol does not exist", True, "symbol", c("parent_id")))
+            .when(of("DeleteSymbol"), q(2, "symbol still contains children", False, "child", c("symbol_id")))
+            .when(of("MoveSymbol") & c("parent_id").isNotNull(), q(3, "parent symbol does not exist", True, "symbol", c("parent_id")))
+            .when(of("CreateReference"), q(2, "reference source does not exist", True, "symbol", c("from_symbol_id"))),
+            F.when(of("CreateSymbol"), q(3, "duplicate sibling name", False, "name", _name_key()))
+            .when(of("DeleteSymbol"), q(3, "references still point at it", False, "end", c("symbol_id")))
+            .when(of("CreateReference"), q(3, "reference target does not exist", True, "symbol", c("to_symbol_id"))),
         ]
         key = ["log_id", "ordinal", "op_id"]
-        plain = asked.select(*key, none.alias("but"), F.explode(F.filter(F.array(*questions), lambda x: x.isNotNull())).alias("q"))
+        plain = asked.select(*key, none.alias("but"), F.explode(F.array(*questions)).alias("q")).where("q is not null")
         # a rename or move asks for the name that it leads to, with the kind and the rest as they stand
         now = self.symbols_all.select(*[c(x).alias(f"v_{x}") for x in ("log_id", "symbol_id", "parent_id", "kind", "name", "lo", "hi")])
         placed = asked.where("op_type = 'MoveSymbol' or op_type = 'UpdateSymbol' and name is not null").join(
             now, (c("v_log_id") == c("log_id")) & (c("v_symbol_id") == c("symbol_id")) & (c("v_lo") < c("ordinal")) & (c("ordinal") <= c("v_hi"))
         ).select(*key, "op_type", c("symbol_id").alias("but"), F.when(of("MoveSymbol"), c("parent_id")).otherwise(c("v_parent_id")).alias("parent_id"), c("v_kind").alias("kind"), F.coalesce("name", "v_name").alias("name"))
-        named = placed.select(*key, "but", F.coalesce(q(of("MoveSymbol"), 5, "duplicate sibling name", False, "name", _name_key()), q(of("UpdateSymbol"), 2, "duplicate sibling name", False, "name", _name_key())).alias("q"))
-        asks = plain.unionAll(named).select(*key, "but", "q.*")
+        named = placed.select(*key, "but", F.when(of("MoveSymbol"), q(5, "duplicate sibling name", False, "name", _name_key())).otherwise(q(2, "duplicate sibling name", False, "name", _name_key())).alias("q"))
+        # settled, as the optimizer would else push what the joins below ask into the join above, where it is reckoned for each pair
+        asks = settled(plain.unionAll(named).select(*key, "but", "q.*"))
         facts = _facts(self.symbols_all, self.references_all)
         met = (c("f_log_id") == c("log_id")) & (c("f_topic") == c("topic")) & (c("f_key") == c("key")) & (c("f_lo") < c("ordinal")) & (c("ordinal") <= c("f_hi"))
         lacking = asks.where("must").join(facts, met, "left_anti")
@@ -148,7 +159,10 @@ class Replay:
 
     def _descendants(self, moves: DataFrame) -> DataFrame:
         """Moves whose new parent is below the symbol, by climbing the parents that each move sees."""
-        return self.ops.sparkSession.sql(
+        asked = settled(moves.select("log_id", "ordinal", "op_id", "symbol_id", "parent_id"))
+        if asked.isEmpty():
+            return asked.select("log_id", "ordinal", "op_id")
+        found = self.ops.sparkSession.sql(
             f"""
             with recursive up(log_id, ordinal, op_id, symbol_id, at, path) max recursion level {MAX_DEPTH} as (
               select log_id, ordinal, op_id, symbol_id, parent_id, array(parent_id) from {{moves}} where parent_id <> symbol_id
@@ -160,9 +174,11 @@ class Replay:
             )
             select distinct log_id, ordinal, op_id from up where at = symbol_id
             """,
-            moves=moves.select("log_id", "ordinal", "op_id", "symbol_id", "parent_id"),
-            versions=self.symbols_all.select("log_id", "symbol_id", "parent_id", "lo", "hi"),
+            moves=asked,
+            versions=settled(self.symbols_all.select("log_id", "symbol_id", "parent_id", "lo", "hi")),
         )
+        # settled, as recursive queries that are laid over each other give wrong rows
+        return settled(found)
 
     @cached_property
     def failures(self) -> DataFrame:
@@ -222,7 +238,9 @@ def in_scope(own: DataFrame, base_symbols: DataFrame, base_references: DataFrame
     named = own.select("log_id", F.explode(F.array("symbol_id", "parent_id", "from_symbol_id", "to_symbol_id")).alias("id")).where("id is not null").distinct()
     moved = own.where("op_type in ('MoveSymbol', 'DeleteSymbol')").select("log_id", F.col("symbol_id").alias("id")).distinct()
     # a move may meet any ancestor of its new parent
-    climbs = _ancestors(own.where("op_type = 'MoveSymbol'").select("log_id", F.col("parent_id").alias("id")).where("id is not null").distinct(), symbols)
+    climbs = settled(own.where("op_type = 'MoveSymbol'").select("log_id", F.col("parent_id").alias("id")).where("id is not null").distinct())
+    if not climbs.isEmpty():
+        climbs = _ancestors(climbs, symbols)
     first = symbols.join(named.unionAll(climbs).distinct(), F.col("symbol_id") == F.col("id")).select("log_id", symbols["symbol_id"])
     below = symbols.join(moved, F.col("parent_id") == F.col("id")).select("log_id", symbols["symbol_id"])
     # keys that a create, rename or move takes: the present kind and name of a symbol, or the given ones
@@ -247,16 +265,7 @@ def in_scope(own: DataFrame, base_symbols: DataFrame, base_references: DataFrame
 
 
 def _ancestors(start: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(log_id, id) of all ancestors of the ids, by a recursive query."""
-    return start.sparkSession.sql(
-        f"""
-        with recursive up(log_id, id, depth) max recursion level {MAX_DEPTH} as (
-          select log_id, id, 0 from {{start}}
-          union all
-          select u.log_id, s.parent_id, u.depth + 1 from up u join {{symbols}} s on s.symbol_id = u.id where s.parent_id is not null and u.depth < {MAX_DEPTH - 1}
-        )
-        select distinct log_id, id from up
-        """,
-        start=start,
-        symbols=symbols.select("symbol_id", "parent_id"),
-    )
+    """(log_id, id) of the ids themselves and all their ancestors."""
+    ids = start.select(F.col("id").alias("symbol_id")).distinct().join(symbols.select("symbol_id", "parent_id"), "symbol_id")
+    above = hierarchy.ancestors(symbols, ids)
+    return start.join(above, F.col("id") == F.col("symbol_id")).select("log_id", F.col("ancestor_id").alias("id")).distinct()

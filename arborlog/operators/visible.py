@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arborlog.operators.lineage import settled
+from arborlog.operators.ranks import dense_positions
+
 #: Longest chain of forks.
 MAX_FORKS = 1000
 
@@ -13,10 +16,11 @@ def fork_chain(branches: DataFrame) -> DataFrame:
     """(leaf, ancestor, cap, offset, depth): each branch's ancestors, itself first.
 
     An own operation of the ancestor is visible to the leaf iff offset + position <= cap (null: no bound),
-    and then its ordinal is offset + position. A cycle of bases ends where it closes.
+    and then its ordinal is offset + position. A cycle of bases ends where it closes; a longer chain than MAX_FORKS is an error.
     """
     spark = branches.sparkSession
-    return spark.sql(
+    # settled, as recursive queries that are laid over each other give wrong rows
+    chain = spark.sql(
         f"""
         with recursive chain(leaf, ancestor, cap, offset, base, depth) max recursion level {MAX_FORKS} as (
           select id, id, cast(null as bigint), base_position, base_branch_id, 0 from {{branches}}
@@ -26,8 +30,9 @@ def fork_chain(branches: DataFrame) -> DataFrame:
         )
         select leaf, ancestor, cap, offset, depth from chain
         """,
-        branches=branches,
+        branches=settled(branches.select("id", "base_branch_id", "base_position")),
     )
+    return settled(chain)
 
 
 def visible_ops(ops: DataFrame, branches: DataFrame, limit: int | None = None) -> DataFrame:
@@ -68,3 +73,17 @@ def require_prefix(count: int, branch: str, wanted: int) -> None:
         raise ValueError("a position can't be negative")
     if count < wanted:
         raise ValueError(f"branch {branch} has {count} visible operations, not {wanted}")
+
+
+def own_ops(ops: DataFrame, branch_id: str, limit: int | None = None) -> DataFrame:
+    """A branch's own operations in order of position, all or the first ``limit``. A log partitioned by branch is read for this one alone."""
+    rows = ops.where(F.col("branch_id") == branch_id).orderBy("position")
+    return rows if limit is None else rows.limit(limit)
+
+
+def repository_ops(ops: DataFrame) -> DataFrame:
+    """All branches' operations in the order of the repository's listing, with their rank: by time, branch and position.
+
+    Months are numbered apart and added up, so that no task ranks the whole log.
+    """
+    return dense_positions(ops, "rank", F.date_trunc("month", "created_at"), ["created_at", "branch_id", "position"])

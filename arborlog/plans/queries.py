@@ -14,6 +14,7 @@ from arborlog.operators import aggregate, diff, graph, hierarchy, merge, moves,
 from arborlog.operators.lineage import settled
 from arborlog.plans.oracles import AGENT, BRANCHES, CONFLICTS, DESIRED, MAIN, REPLAY, sql
 from arborlog.sources import derive
+from arborlog.sources.snapshot import StateCache, files_fingerprint
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,11 +34,18 @@ def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query
 # --- states
 
 
+def replayed_main(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Symbols and references of main at its head, by replay with all rules asked."""
+    ops = settled(derive.main_log(spark, sf).withColumnRenamed("branch_id", "log_id").withColumnRenamed("position", "ordinal"))
+    r = replay.Replay(ops).settle()
+    r.failures = settled(r.failures)
+    return r.symbols().drop("log_id"), r.references().drop("log_id")
+
+
 def main_state(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Symbols and references of main at its head, by replay. main only creates, so its failures needn't be asked for."""
-    ops = derive.main_log(spark, sf).withColumnRenamed("branch_id", "log_id").withColumnRenamed("position", "ordinal")
-    r = replay.Replay(ops)
-    return r.symbols(checked=False).drop("log_id"), r.references(checked=False).drop("log_id")
+    """The same from the cache of states; it is replayed once for as long as the tables don't change."""
+    count, mark = files_fingerprint(spark, [f"{sf}/{t}.parquet" for t in derive.MAIN_TABLES])
+    return StateCache(spark).get(f"{sf}#main", count, mark, lambda: replayed_main(spark, sf))[:2]
 
 
 def own_ops(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,8 +59,8 @@ def seen_ops(spark: SparkSession, sf: str) -> DataFrame:
 def branch_replay(spark: SparkSession, sf: str) -> replay.Replay:
     """Replay of all users' branches over main's head, of which only the rows that they touch come in."""
     symbols, references = main_state(spark, sf)
-    scoped = replay.in_scope(seen_ops(spark, sf), symbols, references)
-    return replay.Replay(settled(scoped), replay.OWN)
+    scoped = replay.in_scope(settled(seen_ops(spark, sf)), symbols, references)
+    return replay.Replay(settled(scoped), replay.OWN).settle()
 
 
 def _ids(symbols: DataFrame, kind: str) -> DataFrame:
@@ -112,12 +120,12 @@ def append_positions(spark, sf):
 
 @query(sql(MAIN, select="select symbol_id, parent_id, kind, name, body, metadata, ordinal from sym"))
 def materialize_symbols(spark, sf):
-    return main_state(spark, sf)[0].select("symbol_id", "parent_id", "kind", "name", "body", "metadata", "ordinal")
+    return replayed_main(spark, sf)[0].select("symbol_id", "parent_id", "kind", "name", "body", "metadata", "ordinal")
 
 
 @query(sql(MAIN, select="select reference_id, from_symbol_id, to_symbol_id, kind, ordinal from ref"))
 def materialize_references(spark, sf):
-    return main_state(spark, sf)[1].select("reference_id", "from_symbol_id", "to_symbol_id", "kind", "ordinal")
+    return replayed_main(spark, sf)[1].select("reference_id", "from_symbol_id", "to_symbol_id", "kind", "ordinal")
 
 
 @query(sql(MAIN, AGENT, REPLAY, select="select log_id, op_id, min(rule) as rule from viol group by 1, 2"))
@@ -375,7 +383,7 @@ def desired_state(spark, sf) -> tuple[DataFrame, DataFrame]:
 def diff_plan(spark, sf):
     base, base_refs = main_state(spark, sf)
     want, want_refs = desired_state(spark, sf)
-    return diff.recover(*map(settled, (base, base_refs, want, want_refs))).select("phase", "op_type", "symbol_id", "reference_id", "name", "body")
+    return diff.recover(base, settled(base_refs), want, settled(want_refs)).select("phase", "op_type", "symbol_id", "reference_id", "name", "body")
 
 
 @query("""

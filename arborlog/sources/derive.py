@@ -9,6 +9,7 @@ from arborlog.operators.ranks import dense_positions
 
 #: Rows in a bucket of positions.
 BUCKET = 1 << 14
+MAIN_TABLES = ("region", "nation", "customer", "orders", "part", "lineitem")
 _NONE = {"symbol_id": "string", "parent_id": "string", "kind": "string", "name": "string", "body": "string", "metadata": "string", "reference_id": "string", "from_symbol_id": "string", "to_symbol_id": "string"}
 
 
