@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlog.llm import rules, signals
-from arborlog.llm.common import pinned, small_batches
+from arborlog.llm.common import pinned, sliced, small_batches
 from arborlog.llm.rules import _SLICE
-from arborlog.llm.substrings import _sliced
 
 #: Features: hashed words, word shapes, and bins of document counts.
 DIM = 1 << 15
@@ -32,7 +31,8 @@ def _bucket(x: np.ndarray, kind: int) -> np.ndarray:
 
 def features(column: pa.Array):
     """(text, bucket, weight) of each feature, texts ascending in each kind, and the counts. Weights of a text add up to 1 at most."""
-    c, w, h = signals.counts(column)
+    c, w = signals.counts(column)
+    h = w.hashes()
     owner = w.owner()
     shape = np.zeros(len(h), dtype=np.uint64)
     if len(h):
@@ -93,7 +93,7 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Scorer:
 
     def run(batches):
         for b in batches:
-            for piece in _sliced(b, 0, _SLICE):
+            for piece in sliced(b, 0, _SLICE):
                 text, bucket, weight, c = features(piece.column(0))
                 key, back = np.unique(np.concatenate(text) * DIM + np.concatenate(bucket), return_inverse=True)
                 sums = np.bincount(back, weights=np.concatenate(weight))
@@ -119,7 +119,7 @@ def score(docs: DataFrame, scorer: Scorer, least: float = 0.5) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part in _sliced(b, 1, _SLICE):
+            for part in sliced(b, 1, _SLICE):
                 some = np.array([bool(t and t.strip()) for t in part.column(1).to_pylist()], dtype=bool)
                 p = np.where(some, shared.value(part.column(1)), 0.0)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array(p >= least)], ["doc_id", "score", "kept"])

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborlog.operators.lineage import settled
+
 #: A word, as a Java regular expression: a run of anything but space and \t..\r.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,21 +25,35 @@ def slots(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bound what one Arrow batch of documents holds; long texts would fill memory otherwise."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: What an Arrow batch holds at most, in rows and in bytes; a single longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder and cut its lineage.
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch of documents holds; long texts would fill memory otherwise.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests on one
-    machine) a temporary folder is made. Lost executors cannot lose the result.
+    Spark has these bounds as settings of the session alone. All operators set the same values, and only where larger ones
+    stand, so their order doesn't matter and a session with tighter bounds keeps them.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
-    return df.checkpoint(eager=True)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        have = int(spark.conf.get(key).rstrip("b"))
+        if have <= 0 or have > most:
+            spark.conf.set(key, str(most))
+
+
+def sliced(b: pa.RecordBatch, at: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most so many bytes of text in column ``at``, or one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + most, side="right")))
+        yield b.slice(i, j - i)
+        i = j
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into the shared checkpoint folder and cut its lineage. Lost executors cannot lose the result."""
+    return settled(df)
 
 
 #: A table of at most so many rows, counted first, may be broadcast (below 8 MB at 80 bytes a row).

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlog.llm import signals
-from arborlog.llm.common import pinned, small_batches
-from arborlog.llm.substrings import _sliced
+from arborlog.llm.common import pinned, sliced, small_batches
 from arborlog.llm.weak import VoteModel, pattern_code, pattern_votes
 
 VOTERS = len(signals.RULES)
@@ -23,8 +22,8 @@ def vote_table(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part in _sliced(b, 1, _SLICE):
-                c, _, _ = signals.counts(part.column(1))
+            for part in sliced(b, 1, _SLICE):
+                c, _ = signals.counts(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c[k], pa.int64()) for k in _OUT), pa.array(signals.base_failed(c)), pa.array(pattern_code(signals.votes(c)), pa.int64())], ["doc_id", *_OUT, "base_failed", "votes"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -51,7 +50,7 @@ def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     -> doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality.
     Each rule votes good, bad or abstains; expectation-maximisation over all rows' vote patterns
-    estimates each rule's accuracy in both classes; quality is the posterior, and kept means that
+    estimates each rule's accuracy in both classes (``VoteModel``); quality is the posterior, and kept means that
     it is at least ``least`` and the base rules hold. No single rule decides.
 
     Null or empty text: no words, base_failed. Repeated rows each get a row, and count each in the fit.

@@ -1,11 +1,14 @@
-"""Removal of repeated passages: suffixes of the corpus by variable-length prefixes, and the deep nodes of each group.
-
-The text of a document is a sequence of words, and a suffix starts at each of them. Suffixes that
-share their first ``window`` words sit under one node of depth ``window`` of the suffix tree, and
-a passage repeats where such a node has suffixes of several documents. The nodes of that depth
-are all that removal asks for, so each suffix is told by a hash of its first ``window`` words, and
-the tree above the node is the partitioning: a group of suffixes is named by a prefix, as short as lets
-the group fit in memory, of 1, 2, 4, 8 or ``window`` words.
+"""Removal of repeated passages by prefix-partitioned suffix trees.
+
+The text of a document is a sequence of words, and a suffix starts at each of them. Suffixes that share their
+first ``window`` words sit under one node of depth ``window`` of the suffix tree; a passage repeats where suffixes of
+several documents sit under such a node, and runs of such nodes along a document are its maximal repeats.
+
+First a sieve: every suffix's hash of its first ``window`` words meets those of all other batches, which leaves the suffixes
+whose hash isn't alone. Only these go on to the trees, with their words. A tree has the suffixes of some prefixes, as
+short as lets them fit in memory, of 1, 2, 4, 8 or ``window`` words; it is their sorted order and the common prefixes of
+neighbours, cut at depth ``window``, as nothing below decides what is removed. The trees compare words, not hashes, so a hash
+that collides costs time and changes nothing.
 """
 
 from __future__ import annotations
@@ -20,48 +23,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlog.llm import textkit
-from arborlog.llm.common import slots, small_batches
+from arborlog.llm.common import sliced, slots, small_batches
 
 WINDOW = 13
-#: Bytes of text in a batch, which is deduplicated in itself before anything is sent; bytes of suffixes in a group.
-BATCH_BYTES, GROUP_BYTES = 4 << 20, 16 << 20
+#: Bytes of text in a batch, which is deduplicated in itself before anything is sent: at least, at most, and by the root of all bytes
+#: between, so that a batch keeps enough for each part of a sieve that grows with the data.
+BATCH_BYTES, MOST_BATCH_BYTES, BATCH_ROOT = 4 << 20, 256 << 20, 180
+#: Bytes of hashes in a part of the sieve, and of suffixes in a tree if all were repeated.
+SIEVE_BYTES, TREE_BYTES = 16 << 20, 128 << 20
 #: Hash cells that prefixes of each length are counted in: at least, and at most (2**20 * 5 sums of 8 bytes reach the driver).
 LEAST_CELLS, MOST_CELLS = 1 << 14, 1 << 20
 _LAST = np.iinfo(np.int64).max
+_NOTHING = np.zeros(0, dtype=np.int64)
 
 
 def levels(window: int) -> list[int]:
     return [k for k in (1, 2, 4, 8) if k < window] + [window]
 
 
-class Suffixes:
-    """Suffixes of at least ``window`` words in a column of texts: hash of each level's prefix, and text number."""
-
-    def __init__(self, column: pa.Array, window: int):
-        self.words = textkit.Words(column)
-        hashes = self.words.hashes()
-        self.places = np.flatnonzero(textkit.fits(self.words, window))  # the word that each starts with
-        self.owner = self.words.owner()[self.places]
-        self.prefix = [textkit.windows(hashes, k)[self.places] for k in levels(window)] if len(self.places) else [np.zeros(0, dtype=np.uint64) for _ in levels(window)]
-
-
 def _cell(prefix: np.ndarray, cells: int) -> np.ndarray:
     return (prefix >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
 
 
 class Groups:
-    """Which group a suffix belongs to, by its shortest prefix whose cell is small enough.
+    """Which tree a suffix belongs to, by its shortest prefix whose cell is small enough.
 
-    counts: suffixes by level and cell. A cell above ``limit`` is too large for its length of prefix, so the
-    next longer prefix decides; the longest takes all. Cells are dealt to ``n`` groups, the largest first, to the least loaded.
+    counts: suffixes by level and cell. A cell above ``limit`` is too large for its length of prefix, so the next longer
+    prefix decides; what is too large even at the whole window is dealt by the window's own hash. Cells are dealt to ``n``
+    trees, the largest first, to the least loaded. The counts are of all suffixes, so a tree of the repeated ones alone is smaller.
     """
 
     def __init__(self, counts: np.ndarray, n: int):
         total = int(counts[0].sum())
-        self.cells = counts.shape[1]
+        self.cells, self.n = counts.shape[1], n
         limit = max(1, total // (4 * n))
         self.deep = counts > limit
-        self.deep[-1] = False
         self.group = np.zeros(counts.shape, dtype=np.int32)
         share, load = 1.0, []
         for k in range(len(counts)):
@@ -81,69 +77,153 @@ class Groups:
             here = ~self.deep[k, cell]
             out[left[here]] = self.group[k, cell[here]]
             left = left[~here]
+        out[left] = (prefix[-1][left] % np.uint64(self.n)).astype(np.int32)
         return out
 
 
+def _runs(sorted_: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    new = np.ones(len(sorted_), dtype=bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    return np.flatnonzero(new)
+
+
 class Batch:
-    """The distinct nodes of a batch of documents, in an order that depends on the documents only."""
-
-    def __init__(self, ids: np.ndarray, column: pa.Array, groups: Groups, window: int):
-        self.suffixes = s = Suffixes(column, window)
-        self.doc = ids[s.owner]  # each suffix's doc_id
-        node = s.prefix[-1]
-        # by node, the smallest doc_id first
-        order = np.lexsort((self.doc, node)) if len(node) else np.zeros(0, dtype=np.int64)
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = node[order[1:]] != node[order[:-1]]
-        first = order[new]
-        self.node, self.least = node[first], self.doc[first]
-        self.of = np.empty(len(order), dtype=np.int64)  # each suffix's node number
-        self.of[order] = np.cumsum(new) - 1
-        self.group = groups([p[first] for p in s.prefix])
-        self.table, rank = np.unique(self.least, return_inverse=True)
-        self.rank = rank.astype(np.int64)
-        # by group, then doc_id, then hash
-        self.order = np.argsort(self.group.astype(np.int64) * (len(self.table) + 1) + self.rank, kind="stable")
-
-    def sent(self):
-        """(group, hashes, doc_ids with the number of hashes of each)."""
-        group = self.group[self.order]
-        cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, dtype=np.int64)
-        for a, b in zip(cut, [*cut[1:], len(group)]):
-            part = self.order[a:b]
-            rank, n = np.unique(self.rank[part], return_counts=True)
+    """The suffixes of a batch of documents. All orders depend on the documents alone, so each reading of a batch has the same."""
+
+    def __init__(self, ids: np.ndarray, column: pa.Array, window: int, parts: int):
+        self.window, self.words = window, textkit.Words(column)
+        self.places = np.flatnonzero(textkit.fits(self.words, window))  # the word that each suffix starts with
+        self.doc = ids[self.words.owner()[self.places]]
+        self.hashes = self.words.hashes()
+        marks = textkit.windows(self.hashes, window, self.places)
+        part = (marks % np.uint64(parts)).astype(np.int64)
+        # marks by part, then the half that is sent; what is equal in both counts as one
+        key = (part.astype(np.uint64) << np.uint64(32)) | (marks >> np.uint64(32))
+        order = np.argsort(key, kind="stable")
+        cut = _runs(key[order])
+        self.key = key[order[cut]]
+        self.of = np.empty(len(key), dtype=np.int64)  # each suffix's mark
+        self.of[order] = np.repeat(np.arange(len(cut)), np.diff([*cut, len(key)]))
+        own = self.doc[order]
+        self.several = np.minimum.reduceat(own, cut) < np.maximum.reduceat(own, cut) if len(cut) else np.zeros(0, dtype=bool)
+
+    def marks(self):
+        """(part of the sieve, marks) for each part that the batch meets."""
+        part = (self.key >> np.uint64(32)).astype(np.int64)
+        cut = _runs(part)
+        for a, b in zip(cut, [*cut[1:], len(part)]):
+            yield int(part[a]), (self.key[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+
+    def shared(self, replies: dict[int, bytes]) -> np.ndarray:
+        """For each mark: is it in another batch or in several documents of this one? replies: bits of each part."""
+        out, part = self.several.copy(), (self.key >> np.uint64(32)).astype(np.int64)
+        for g, bits in replies.items():
+            a, b = np.searchsorted(part, [g, g + 1])
+            out[a:b] |= np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=b - a).astype(bool)
+        return out
+
+    def sift(self, shared: np.ndarray, groups: Groups) -> None:
+        """Keep the suffixes with shared marks, and of those with equal words the one with the smallest doc_id to send."""
+        self.kept = np.flatnonzero(shared[self.of])
+        codes, _ = self.words.coded
+        # equal words have equal marks, so all of them are kept or none
+        words = textkit.window_codes(codes, self.window)[self.places[self.kept]] if len(self.kept) else _NOTHING
+        doc = self.doc[self.kept]
+        order = np.lexsort((doc, words))
+        cut = _runs(words[order])
+        first = order[cut]
+        node = np.empty(len(order), dtype=np.int64)
+        node[order] = np.repeat(np.arange(len(cut)), np.diff([*cut, len(order)]))
+        places = self.places[self.kept[first]]
+        group = groups([textkit.windows(self.hashes, k, places) for k in levels(self.window)])
+        table, rank = np.unique(doc[first], return_inverse=True)
+        sent = np.lexsort((places, rank, group))
+        self.group, self.table, self.rank, self.sent_places = group[sent], table, rank[sent], places[sent]
+        back = np.empty(len(sent), dtype=np.int64)
+        back[sent] = np.arange(len(sent))
+        self.node, self.least = back[node], doc[first][sent]  # of each kept suffix, in the order sent; of each sent one
+
+    def suffixes(self):
+        """(tree, words, codes of the suffixes' words by place in the window, doc_ids) for each tree that the batch meets."""
+        codes, known = self.words.coded
+        cut = _runs(self.group)
+        for a, b in zip(cut, [*cut[1:], len(self.group)]):
+            part = codes[self.sent_places[a:b][None, :] + np.arange(self.window)[:, None]]
+            used, own = np.unique(part, return_inverse=True)
+            kind = "<u2" if len(used) < 1 << 16 else "<u4"
+            rank, n = np.unique(self.rank[a:b], return_counts=True)
             head = np.concatenate([[len(rank)], np.diff(self.table[rank], prepend=0), n]).astype("<i8")
-            yield int(group[a]), self.node[part].tobytes(), zlib.compress(head.tobytes(), 1)
+            text = b" ".join(known[i] for i in used.tolist())
+            yield int(self.group[a]), zlib.compress(text, 1), zlib.compress(own.reshape(part.shape).astype(kind).tobytes(), 1), zlib.compress(head.tobytes(), 1)
 
-    def covered(self, replies: dict[int, bytes], window: int) -> np.ndarray:
-        """For each word of the batch, whether it is removed, given each group's bits: does a smaller document have the node?"""
-        elsewhere = np.zeros(len(self.node), dtype=bool)
-        group = self.group[self.order]
+    def covered(self, replies: dict[int, bytes]) -> np.ndarray:
+        """For each word of the batch, whether it is removed, given each tree's bits: does a smaller document have the node?"""
+        elsewhere = np.zeros(len(self.group), dtype=bool)
         for g, bits in replies.items():
-            a, b = np.searchsorted(group, [g, g + 1])
-            elsewhere[self.order[a:b]] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=b - a).astype(bool)
-        gone = elsewhere[self.of] | (self.doc > self.least[self.of])
-        edges = np.zeros(len(self.suffixes.words.starts) + 1, dtype=np.int64)
-        at = self.suffixes.places[gone]
+            a, b = np.searchsorted(self.group, [g, g + 1])
+            elsewhere[a:b] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=b - a).astype(bool)
+        gone = elsewhere[self.node] | (self.doc[self.kept] > self.least[self.node])
+        edges = np.zeros(len(self.words.starts) + 1, dtype=np.int64)
+        at = self.places[self.kept[gone]]
         edges[at] += 1
-        edges[at + window] -= 1  # starts differ, so no place is named twice
+        edges[at + self.window] -= 1  # starts differ, so no place is named twice
         return np.cumsum(edges)[:-1] > 0
 
 
-def _judged(hashes: list[bytes], heads: list[bytes]) -> list[bytes]:
-    """For each batch's nodes of one group: bits that tell whether a smaller doc_id has the node in any batch."""
-    node = np.concatenate([np.frombuffer(h, dtype=np.uint64) for h in hashes])
-    docs = []
-    for head in heads:
+def sieved(marks: list[bytes]) -> list[bytes]:
+    """For each batch's marks of one part: bits that tell whether another batch has the mark."""
+    all_ = np.concatenate([np.frombuffer(m, dtype="<u4") for m in marks])
+    order = np.argsort(all_, kind="stable")
+    cut = _runs(all_[order])
+    n = np.diff([*cut, len(all_)])
+    bits = np.empty(len(all_), dtype=bool)
+    bits[order] = np.repeat(n > 1, n)
+    ends = np.cumsum([len(m) // 4 for m in marks])
+    return [np.packbits(bits[e - len(m) // 4 : e]).tobytes() for e, m in zip(ends, marks)]
+
+
+class Tree:
+    """The suffix tree of some prefixes down to a depth: suffixes in order, and how many words neighbours share.
+
+    suffixes: word numbers, a row for each place and a column for each suffix. An internal node of depth d is a run of
+    neighbours that share d words or more.
+    """
+
+    def __init__(self, suffixes: np.ndarray):
+        self.depth, n = suffixes.shape
+        self.order = np.lexsort(suffixes[::-1])
+        ranked = suffixes[:, self.order]
+        self.common = np.zeros(n, dtype=np.int64)  # words shared with the one before
+        alike = np.ones(max(0, n - 1), dtype=bool)
+        for row in ranked:
+            alike &= row[1:] == row[:-1]
+            self.common[1:] += alike
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """For each suffix in order, the number of its node of this depth."""
+        return np.cumsum(self.common < depth) - 1
+
+
+def judged(texts: list[bytes], codes: list[bytes], heads: list[bytes], window: int) -> list[bytes]:
+    """For each batch's suffixes of one tree: bits that tell whether a smaller doc_id has the same first ``window`` words in any batch."""
+    docs, parts, words, first = [], [], [], 0
+    for text, code, head in zip(texts, codes, heads):
         x = np.frombuffer(zlib.decompress(head), dtype="<i8")
         k = int(x[0])
         docs.append(np.repeat(np.cumsum(x[1 : k + 1]), x[k + 1 :]))
+        own = zlib.decompress(text).split(b" ")
+        part = np.frombuffer(zlib.decompress(code), dtype="<u2" if len(own) < 1 << 16 else "<u4").reshape(window, -1)
+        parts.append(part.astype(np.int64) + first)
+        words += own
+        first += len(own)
+    number = pa.array(words, pa.large_binary()).dictionary_encode().indices.to_numpy()
+    tree = Tree(number[np.concatenate(parts, axis=1)])
     doc = np.concatenate(docs)
-    order = np.argsort(node, kind="stable")
-    node = node[order]
-    cut = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-    low = np.empty(len(node), dtype=np.int64)
-    low[order] = np.repeat(np.minimum.reduceat(doc[order], cut), np.diff([*cut, len(node)]))
+    node = tree.nodes(window)
+    cut = _runs(node)
+    low = np.empty(len(doc), dtype=np.int64)
+    low[tree.order] = np.minimum.reduceat(doc[tree.order], cut)[node]
     bits = low < doc
     ends = np.cumsum([len(d) for d in docs])
     return [np.packbits(bits[e - len(d) : e]).tobytes() for e, d in zip(ends, docs)]
@@ -153,32 +233,25 @@ def _numbers(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
 
 
-def _sliced(b: pa.RecordBatch, at: int, most: int = BATCH_BYTES):
-    """Parts of a batch of at most so many bytes of text, or one row."""
-    size = np.cumsum(np.diff(textkit.flat(b.column(at))[1]))
-    i = 0
-    while i < b.num_rows:
-        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + most, side="right")))
-        yield b.slice(i, j - i)
-        i = j
+def _one(table: pa.Table) -> pa.RecordBatch:
+    return table.select(["doc_id", "text"]).combine_chunks().to_batches()[0]
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Remove each word covered by a run of ``window`` words that also starts in a document with a smaller doc_id.
 
-    docs(doc_id, text, ...) -> (doc_id, n_words, n_removed, kept string) for each input row;
-    runs are judged on the input. Other columns are ignored.
+    docs(doc_id, text, ...) -> (doc_id, n_words, n_removed, kept string, repeats) for each input row; repeats: the maximal runs
+    of removed words as (first word, number of words). Runs are judged on the input. Other columns are ignored.
 
-    One pass counts prefixes in hash cells and fixes the groups. Rows are dealt into batches of a few MB by their
-    place in the input, whatever their doc_id. Each batch sends every distinct node once, with its
-    smallest doc_id in the batch, to the node's group; so a passage that a third of all documents share is
-    sent once for each batch, not for each document. A group sorts its nodes, takes the smallest doc_id of
-    each, and answers each batch with one bit for each node. The batch meets its answers, marks the
-    words and joins what is kept. Texts are shuffled once.
+    One pass counts prefixes in hash cells and fixes the trees. Rows are dealt into batches of a few MB by their
+    place in the input, whatever their doc_id. Each batch sends its marks to the sieve, and of those that come back as shared
+    each distinct suffix once, with its smallest doc_id in the batch, to the suffix's tree; so a passage that a third of all
+    documents share is sent once for each batch, not for each document. A tree answers with one bit for each suffix.
+    The batch marks the words and joins what is kept. Texts are shuffled once and read three times.
 
     Null text: no words. Null doc_id: after all others; such rows lose to any row with one and take from
     none. Rows that share a doc_id don't take from each other. Fewer than ``window`` words: nothing
-    removed. Empty table: no rows.
+    removed. Empty table: no rows. A text is worked on whole, so a task needs memory for about thirty times its longest text.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -190,47 +263,81 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def count(batches):
         table = np.zeros((len(levels(window)), cells), dtype=np.int64)
         for b in batches:
-            for part in _sliced(b, 0):
-                for k, p in enumerate(Suffixes(part.column(0), window).prefix):
-                    table[k] += np.bincount(_cell(p, cells), minlength=cells)
+            for part in sliced(b, 0):
+                words = textkit.Words(part.column(0))
+                places, hashes = np.flatnonzero(textkit.fits(words, window)), words.hashes()
+                for k, n in enumerate(levels(window)):
+                    table[k] += np.bincount(_cell(textkit.windows(hashes, n, places), cells), minlength=cells)
         level, cell = np.nonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(cell, pa.int32()), pa.array(table[level, cell], pa.int64())], ["level", "cell", "n"])
 
     counts = np.zeros((len(levels(window)), cells), dtype=np.int64)
     for r in rows.select("text").mapInArrow(count, "level int, cell int, n long").groupBy("level", "cell").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["level"], r["cell"]] = r["n"]
-    n_groups = max(slots(spark), int(counts[0].sum()) * 9 // GROUP_BYTES + 1)
-    n_batches = max(slots(spark), n_bytes // BATCH_BYTES + 1)
-    shared = spark.sparkContext.broadcast(Groups(counts, n_groups))
+    total = int(counts[0].sum())
+    n_parts = max(slots(spark), total * 4 // SIEVE_BYTES + 1)
+    n_trees = max(slots(spark), total * 4 * (window + 2) // TREE_BYTES + 1)
+    n_batches = max(slots(spark), n_bytes // min(MOST_BATCH_BYTES, max(BATCH_BYTES, int(BATCH_ROOT * n_bytes**0.5))) + 1)
+    shared = spark.sparkContext.broadcast(Groups(counts, n_trees))
+
+    def batch(left):
+        b = _one(left)
+        return b, Batch(_numbers(b.column(0)), b.column(1), window, n_parts)
 
     def send(key, table):
-        b = table.combine_chunks().to_batches()[0]
-        found = list(Batch(_numbers(b.column(0)), b.column(1), shared.value, window).sent())
-        return pa.table({"g": pa.array([x[0] for x in found], pa.int32()), "m": pa.array([key[0].as_py()] * len(found), pa.int32()), "nodes": pa.array([x[1] for x in found], pa.binary()), "head": pa.array([x[2] for x in found], pa.binary())})
+        _, own = batch(table)
+        found = list(own.marks())
+        return pa.table({"g": pa.array([x[0] for x in found], pa.int32()), "m": pa.array([key[0].as_py()] * len(found), pa.int32()), "marks": pa.array([x[1] for x in found], pa.binary())})
 
-    def judge(key, table):
-        bits = _judged(table.column("nodes").to_pylist(), table.column("head").to_pylist()) if len(table) else []
+    def sieve(key, table):
+        bits = sieved(table.column("marks").to_pylist()) if len(table) else []
         return pa.table({"m": table.column("m"), "g": table.column("g"), "bits": pa.array(bits, pa.binary())})
 
+    def replies(table):
+        return dict(zip(table.column("g").to_pylist(), table.column("bits").to_pylist()))
+
+    def sift(key, left, right):
+        _, own = batch(left)
+        marks = own.shared(replies(right))
+        own.sift(marks, shared.value)
+        # what was found shared goes along, to a group of its own that hands it back
+        found = [(-1 - key[0].as_py(), b"", np.packbits(marks).tobytes(), b""), *own.suffixes()]
+        names = ("g", "words", "codes", "head")
+        return pa.table({n: pa.array([x[i] for x in found], pa.binary() if i else pa.int32()) for i, n in enumerate(names)} | {"m": pa.array([key[0].as_py()] * len(found), pa.int32())}).select(["g", "m", "words", "codes", "head"])
+
+    def judge(key, table):
+        bits = table.column("codes") if key[0].as_py() < 0 else pa.array(judged(*(table.column(k).to_pylist() for k in ("words", "codes", "head")), window), pa.binary())
+        return pa.table({"m": table.column("m"), "g": table.column("g"), "bits": bits})
+
     def finish(key, left, right):
-        b = left.select(["doc_id", "text"]).combine_chunks().to_batches()[0]
-        batch = Batch(_numbers(b.column(0)), b.column(1), shared.value, window)
-        gone = batch.covered(dict(zip(right.column("g").to_pylist(), right.column("bits").to_pylist())), window)
-        words = batch.suffixes.words
-        removed = np.concatenate([[0], np.cumsum(gone)])[words.first]
+        b, own = batch(left)
+        found = replies(right)
+        marks = np.unpackbits(np.frombuffer(found.pop(-1 - key[0].as_py()), dtype=np.uint8), count=len(own.key)).astype(bool)
+        own.sift(marks, shared.value)
+        gone, words = own.covered(found), own.words
+        sums = np.concatenate([[0], np.cumsum(gone)])[words.first]
         data, kept = words.data.tobytes(), []
         for i in range(b.num_rows):
-            own = data[words.at[i] : words.at[i + 1]].split()
-            if removed[i + 1] > removed[i]:
-                own = itertools.compress(own, (~gone[words.first[i] : words.first[i + 1]]).tolist())
-            kept.append(b" ".join(own))
-        return pa.table({"doc_id": b.column(0), "n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(np.diff(removed), pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
-
-    # both readings of ``dealt`` are one exchange, which Spark reuses
+            parts = data[words.at[i] : words.at[i + 1]].split()
+            if sums[i + 1] > sums[i]:
+                parts = itertools.compress(parts, (~gone[words.first[i] : words.first[i + 1]]).tolist())
+            kept.append(b" ".join(parts))
+        # a run also ends where its text does
+        owner = words.owner()
+        joined = gone[1:] & gone[:-1] & (owner[1:] == owner[:-1]) if len(gone) else np.zeros(0, dtype=bool)
+        begin = np.flatnonzero(gone & ~np.concatenate([[False], joined])[: len(gone)])
+        length = np.diff([*(np.cumsum(gone)[begin] - 1), int(gone.sum())]) if len(begin) else _NOTHING
+        spans = pa.StructArray.from_arrays([pa.array(begin - words.first[owner[begin]] if len(begin) else _NOTHING, pa.int64()), pa.array(length, pa.int64())], ["start", "length"])
+        ends = np.searchsorted(begin, words.first).astype(np.int32)
+        return pa.table({"doc_id": b.column(0), "n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(np.diff(sums), pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "repeats": pa.ListArray.from_arrays(pa.array(ends), spans)})
+
+    # the three readings of ``dealt`` are one exchange, which Spark reuses
     dealt = rows.withColumn("m", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_batches)).cast("int")).select("m", "doc_id", "text")
-    sent = dealt.groupBy("m").applyInArrow(lambda key, t: send(key, t.select(["doc_id", "text"])), "g int, m int, nodes binary, head binary")
-    replies = sent.groupBy("g").applyInArrow(judge, "m int, g int, bits binary")
-    return dealt.groupBy("m").cogroup(replies.groupBy("m")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
+    sent = dealt.groupBy("m").applyInArrow(send, "g int, m int, marks binary")
+    alike = sent.groupBy("g").applyInArrow(sieve, "m int, g int, bits binary")
+    passed = dealt.groupBy("m").cogroup(alike.groupBy("m")).applyInArrow(sift, "g int, m int, words binary, codes binary, head binary")
+    told = passed.groupBy("g").applyInArrow(judge, "m int, g int, bits binary")
+    return dealt.groupBy("m").cogroup(told.groupBy("m")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept string, repeats array<struct<start:long,length:long>>")
 
 
 ORACLE_SQL = r"""

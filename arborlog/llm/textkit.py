@@ -1,33 +1,23 @@
-"""Word tables over Arrow string columns, in numpy: where words are and a 64-bit hash of each.
+"""Word tables over Arrow string columns, in numpy: where words are, which are equal, and a 64-bit hash of each.
 
 A word is a run of bytes outside space and 0x09..0x0D; in UTF-8 these bytes stand for themselves
-only, so the words are those of the text. Hashes are polynomials over bytes modulo 2**64, finally
-mixed; equal words have equal hashes, and different ones collide with a chance near 2**-64.
+only, so the words are those of the text. Inside a column, words and windows of words have codes that are equal exactly if
+they are; between columns they are told by XXH64 of each distinct word.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = int(_rng.integers(1, 2**62)) * 4 + 1
-_BACK = pow(_STEP, -1, 2**64)
 #: Odd multipliers of the words of a window, by place.
-_PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
-SEGMENT = 1 << 20
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, base: int, n: int) -> np.ndarray:
-    if kind not in _powers or len(_powers[kind]) < n:
-        x = np.full(max(n, SEGMENT + 1), base, dtype=np.uint64)
-        x[0] = 1
-        _powers[kind] = np.cumprod(x, dtype=np.uint64)
-    return _powers[kind]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,20 +29,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each byte span; spans are sorted and don't overlap. Works through segments of the data."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SEGMENT, side="right")))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        up, back = _power("up", _STEP, hi - lo + 1), _power("back", _BACK, hi - lo + 1)
-        sums = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data[lo:hi]] * up[: hi - lo], out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        i = j
-    return out
+def coded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """A code for each byte span, equal exactly if the spans are, and the distinct spans by code. Spans are sorted and don't overlap."""
+    edges = np.zeros(len(data) + 1, dtype=np.int8)
+    edges[starts] += 1
+    edges[ends] -= 1  # a span may begin where the one before it ends
+    inside = np.cumsum(edges[:-1], dtype=np.int8).view(bool)
+    offsets = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[inside]))])
+    found = spans.dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+
+
+def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A code for each pair of codes (below 2**31), equal exactly if both are."""
+    return pd.factorize(a * (int(b.max(initial=0)) + 1) + b)[0].astype(np.int64)
+
+
+def window_codes(codes: np.ndarray, k: int) -> np.ndarray:
+    """A code for the k words that start at each word, equal exactly if the words are; also across texts: mask those with ``fits``."""
+    if len(codes) < k:
+        return np.zeros(0, dtype=np.int64)
+    have, out = 1, codes
+    while 2 * have <= k:
+        out, have = pairs(out[:-have], out[have:]), 2 * have
+    n = len(codes) - k + 1
+    return pairs(out[:n], out[k - have : k - have + n]) if have < k else out
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,22 +89,25 @@ class Words:
         self.first = np.searchsorted(self.starts, self.at)
         self.counts = np.diff(self.first)
 
+    @cached_property
+    def coded(self) -> tuple[np.ndarray, list[bytes]]:
+        """A code of each word, and the distinct words."""
+        return coded(self.data, self.starts, self.ends)
+
     def hashes(self) -> np.ndarray:
-        return span_hashes(self.data, self.starts, self.ends)
+        codes, known = self.coded
+        return np.array([xxhash.xxh64_intdigest(w) for w in known], dtype=np.uint64)[codes]
 
     def owner(self) -> np.ndarray:
         """For each word, the number of its text."""
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
-def windows(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k words that start at each word, also across texts: mask those with ``fits``."""
-    n = len(hashes) - k + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    out = hashes[:n] * _PLACE[0]
-    for j in range(1, k):
-        out += hashes[j : j + n] * _PLACE[j]
+def windows(hashes: np.ndarray, k: int, places: np.ndarray) -> np.ndarray:
+    """Hash of the k words that start at each of these places."""
+    out = np.zeros(len(places), dtype=np.uint64)
+    for j in range(k):
+        out += hashes[places + j] * _PLACE[j]
     return mix(out)
 
 

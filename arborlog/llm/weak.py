@@ -11,15 +11,15 @@ class VoteModel:
     Fitted on distinct vote patterns with their numbers, so its cost doesn't grow with the rows. An
     abstention is no evidence. Rules are made to fail good texts seldom, while a bad text fails a few of
     them, not all: accuracies start at ``start`` for bad and good texts, and each estimate counts the start as
-    if a share ``hold`` of the rows had shown it. Without that, the two classes drift to the largest group
-    of copies and the rest.
+    if ``hold`` rows had shown it, whatever the number of rows, so the data outweigh it. That names the classes, as two classes
+    could as well be told the other way round, and gives rules that never vote a value. No votes at all: the start.
+    Ties: a posterior of exactly one half counts as good wherever a caller asks for at least one half.
     """
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, start: tuple[float, float] = (0.35, 0.98), hold: tuple[float, float] = (0.1, 0.5), rounds: int = 200, prior: float = 0.85):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, start: tuple[float, float] = (0.35, 0.98), hold: float = 100.0, rounds: int = 500, prior: float = 0.85):
         votes, n = np.asarray(patterns, dtype=int), np.asarray(counts, dtype=float)
         self.prior = prior
         self.right = np.tile(np.array(start), (votes.shape[1], 1))
-        total = max(n.sum(), 1.0)
         for _ in range(rounds):
             p = self(votes)
             prior2 = float(np.clip(((n * p).sum() + prior * 10) / (n.sum() + 10), 0.02, 0.98))
@@ -27,8 +27,8 @@ class VoteModel:
             for c, w in ((0, n * (1 - p)), (1, n * p)):
                 good = (w[:, None] * (votes == (1 if c else -1))).sum(axis=0)
                 cast = (w[:, None] * (votes != 0)).sum(axis=0)
-                right2[:, c] = (good + hold[c] * total * start[c]) / (cast + hold[c] * total)
-            right2 = np.clip(right2, 0.05, 0.995)
+                right2[:, c] = (good + hold * start[c]) / (cast + hold)
+            right2 = np.clip(right2, 0.02, 0.995)
             done = np.abs(right2 - self.right).max(initial=0) + abs(prior2 - self.prior) < 1e-7
             self.right, self.prior = right2, prior2
             if done:

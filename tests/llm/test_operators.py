@@ -191,8 +191,12 @@ def test_substrings(docs, none, rows):
             if low is not None and (r[0] is None or low < r[0]):
                 gone[i : i + k] = [True] * k
         want[(r[0], len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))] += 1
-    got = Counter(tuple(r) for r in substrings.remove_repeats(docs, k).collect())
+    out = substrings.remove_repeats(docs, k).collect()
+    got = Counter(tuple(r)[:4] for r in out)
     assert got == want and sum(x[2] > 0 for x in got) > 8
+    for r in out:  # runs of removed words, apart from each other
+        assert sum(x["length"] for x in r["repeats"]) == r["n_removed"] and all(x["length"] >= k for x in r["repeats"])
+        assert all(a["start"] + a["length"] < b["start"] for a, b in zip(r["repeats"], r["repeats"][1:]))
     assert substrings.remove_repeats(none, k).count() == 0
 
 
@@ -202,7 +206,94 @@ def test_substring_groups_by_prefix():
     counts[1, 1], counts[1, 2] = 9_000, 1_010
     counts[2:, 3] = 10_010
     g = substrings.Groups(counts, 2)
-    assert g.deep[0, 7] and not g.deep[0, 9] and not g.deep[-1].any()
+    assert g.deep[0, 7] and not g.deep[0, 9]
+    # what is too large even at the whole window is dealt by its hash
+    hot = [np.full(8, 7 << 50, dtype=np.uint64)] + [np.full(8, 1 << 50, dtype=np.uint64)] * 1 + [np.full(8, 3 << 50, dtype=np.uint64)] * 2 + [np.arange(8, dtype=np.uint64) + np.uint64(3 << 50)]
+    assert g(hot).tolist() == [i % 2 for i in ((3 << 50) + np.arange(8)).tolist()]
+
+
+def thue_morse(swap=False):
+    """Texts of two letters that polynomials modulo powers of two can't tell apart."""
+    return "".join("ab"[bin(i).count("1") % 2 ^ swap] for i in range(2048))
+
+
+def test_words_that_simple_hashes_confuse(spark):
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{thue_morse()} {rest}"), (2, f"{thue_morse(True)} {rest}"), (3, f"{thue_morse(True)} {rest}")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(table).collect()} == {1: 0, 2: 0, 3: 13}
+    lines = spark.createDataFrame([(1, f"{thue_morse()}\n{thue_morse(True)}\n{thue_morse()}")], "doc_id long, text string")
+    assert rules.vote_table(lines).first()["n_dup_lines"] == 1
+
+
+def test_trees_tell_words_whose_marks_collide(spark, monkeypatch):
+    """With a hash that has hardly any values, the sieve lets all through, and the trees still decide by words."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("ab") for _ in range(40))) for i in range(30)]
+    rows += [(100 + i, rows[i][1]) for i in range(5)]
+    seen, want = {}, {}
+    for i, t in rows:
+        w = t.split()
+        gone = [False] * len(w)
+        for k in range(len(w) - 12):
+            if seen.setdefault(tuple(w[k : k + 13]), i) < i:
+                gone[k : k + 13] = [True] * 13
+        want[i] = sum(gone)
+    column = __import__("pyarrow").array([t for _, t in rows])
+    groups = substrings.Groups(np.ones((5, 1 << 14), dtype=np.int64), 1)
+    own = substrings.Batch(np.array([i for i, _ in rows]), column, 13, 1)
+    own.key = np.zeros(1, dtype=np.uint64)
+    own.of[:] = 0
+    own.sift(np.ones(1, dtype=bool), groups)
+    parts = list(own.suffixes())
+    bits = substrings.judged([parts[0][1]] * 2, [parts[0][2]] * 2, [parts[0][3]] * 2, 13)
+    gone = own.covered({0: bits[0]})
+    sums = np.concatenate([[0], np.cumsum(gone)])[own.words.first]
+    assert dict(zip([i for i, _ in rows], np.diff(sums).tolist())) == want
+
+
+def test_tree_nodes():
+    words = np.array([[1, 2, 3], [1, 2, 4], [1, 2, 3], [2, 2, 3], [1, 9, 3]]).T
+    tree = substrings.Tree(words)
+    assert tree.order.tolist() == [0, 2, 1, 4, 3] and tree.common.tolist() == [0, 3, 2, 1, 0]
+    assert [tree.nodes(d).tolist() for d in (1, 2, 3)] == [[0, 0, 0, 0, 1], [0, 0, 0, 1, 2], [0, 0, 1, 2, 3]]
+
+
+def test_window_codes():
+    from arborlog.llm import textkit
+
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 3, 500)
+    for k in (1, 2, 3, 5, 8, 13):
+        got = textkit.window_codes(codes, k)
+        seen = {}
+        for i, c in enumerate(got.tolist()):
+            assert seen.setdefault(tuple(codes[i : i + k]), c) == c
+        assert len(set(seen.values())) == len(seen) and len(got) == 500 - k + 1
+    assert len(textkit.window_codes(codes[:2], 3)) == 0
+
+
+def test_vote_model_follows_the_data():
+    """Votes drawn from known accuracies: many rows move the estimates from their start to those, few leave them there."""
+    from arborlog.llm import weak
+
+    rng = np.random.default_rng(5)
+    right = np.array([[0.7, 0.97], [0.5, 0.9], [0.6, 0.95], [0.8, 0.99], [0.4, 0.93]])
+    good = rng.random(60_000) < 0.8
+    hit = rng.random((len(good), 5)) < np.where(good[:, None], right[:, 1], right[:, 0])
+    votes = np.where(hit == good[:, None], 1, -1) * (rng.random(hit.shape) < 0.9)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = weak.VoteModel(patterns, counts)
+    assert np.abs(model.right - right).max() < 0.06 and abs(model.prior - 0.8) < 0.03
+    # one more round by hand: a plain loop over rows
+    p = model(votes)
+    for j in range(5):
+        for c, weight in ((0, 1 - p), (1, p)):
+            cast = [(w, v) for w, v in zip(weight[:5000], votes[:5000, j]) if v]
+            share = sum(w for w, v in cast if v == (1 if c else -1)) / sum(w for w, _ in cast)
+            assert abs(share - model.right[j, c]) < 0.06
+    few = weak.VoteModel(patterns[:2], np.ones(2))
+    assert np.abs(few.right - [0.35, 0.98]).max() < 0.05
 
 
 def test_language(spark, docs, none, rows):
@@ -357,7 +448,7 @@ def test_quality_against_labels(spark):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     for out in (rules.judge(docs), classifier.score(docs, classifier.fit(docs))):
         pairs = [(r["kept"], r["quality"]) for r in out.select("doc_id", "kept").join(labels, "doc_id").select("kept", labels["quality"]).collect()]
-        assert sum(k == (q == 1) for k, q in pairs) >= 0.9 * len(pairs)
+        assert sum(k == (q == 1) for k, q in pairs) >= 0.93 * len(pairs)
 
 
 def test_embeddings(spark):
