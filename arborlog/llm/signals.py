@@ -22,25 +22,34 @@ _SMALL = (
 ).split()
 
 
-_SMALL_WORDS = frozenset(w.encode() for w in _SMALL)
+_SMALL_HASHES = np.unique(textkit.Words(pa.array([" ".join(_SMALL)])).hashes())
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_letter_words", "n_small", "n_stops"]
 
 
+def alike(owner: np.ndarray, hashes: np.ndarray, texts: int) -> np.ndarray:
+    """In order, the places whose hash may be found again in the same text; a few more than are. The text's number takes the key's top bits."""
+    bits = np.uint64(max(1, int(texts).bit_length()))
+    key = (owner.astype(np.uint64) << (np.uint64(64) - bits)) | (hashes >> bits)
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    return np.sort(order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]) if len(key) else np.zeros(0, dtype=np.int64)
+
+
 def per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Number of true flags in each text; at: where each starts, and the end."""
     return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[at])
 
 
-def counts(column: pa.Array) -> tuple[dict[str, np.ndarray], textkit.Words]:
-    """COUNTS for each text, and the words."""
+def counts(column: pa.Array) -> tuple[dict[str, np.ndarray], textkit.Words, np.ndarray]:
+    """COUNTS for each text, the words and their quick hashes."""
     w = textkit.Words(column)
-    (codes, known), n, owner = w.coded, len(w.counts), w.owner()
+    h, n, owner = w.hashes(), len(w.counts), w.owner()
     inside = _LEAD[w.data] & ~textkit.SPACE[w.data]
     out = {"n_words": w.counts, "word_chars": per_text(inside, w.at), "n_symbols": per_text(_SYMBOL[w.data], w.at), "n_upper": per_text(_UPPER[w.data], w.at), "n_letters": per_text(_LETTER[w.data] & inside, w.at)}
     letters = np.concatenate([[0], np.cumsum(_LETTER[w.data], dtype=np.int64)])
     out["n_letter_words"] = per_text(letters[w.ends] > letters[w.starts], w.first)
-    out["n_small"] = per_text(np.array([x in _SMALL_WORDS for x in known], dtype=bool)[codes], w.first)
+    out["n_small"] = per_text(_SMALL_HASHES[np.minimum(np.searchsorted(_SMALL_HASHES, h), len(_SMALL_HASHES) - 1)] == h, w.first)
     out["n_stops"] = per_text(_STOP[w.data[w.ends - 1]] if len(w.ends) else np.zeros(0, dtype=bool), w.first)
     # lines with a word: the line of each word that isn't on the line of the word before it
     breaks = np.flatnonzero(w.data == 10)
@@ -50,19 +59,23 @@ def counts(column: pa.Array) -> tuple[dict[str, np.ndarray], textkit.Words]:
     line, own = line[head], owner[head]
     begin = np.maximum(w.at[own], np.concatenate([[-1], breaks])[line] + 1)
     end = np.minimum(w.at[own + 1], np.concatenate([breaks, [len(w.data)]])[line])
-    same, lines = textkit.coded(w.data, begin, end)
-    distinct = pd.unique(own * max(1, len(lines)) + same) // max(1, len(lines))  # the text of each distinct line
     out["n_lines"] = np.bincount(own, minlength=n)
-    out["n_dup_lines"] = out["n_lines"] - np.bincount(distinct, minlength=n)
+    out["n_dup_lines"] = np.zeros(n, dtype=np.int64)
+    maybe = alike(own, textkit.span_hashes(w.data, begin, end), n)
+    if len(maybe):
+        same, lines = textkit.coded(w.data, begin[maybe], end[maybe])
+        distinct = pd.unique(own[maybe] * len(lines) + same) // len(lines)  # the text of each distinct line
+        out["n_dup_lines"] = np.bincount(own[maybe], minlength=n) - np.bincount(distinct, minlength=n)
     # words in windows of three that are found again
     at = np.flatnonzero(textkit.fits(w, 3))
-    run = textkit.pairs(owner[at], textkit.window_codes(codes, 3)[at]) if len(at) else at
+    at = at[alike(owner[at], textkit.windows(h, 3, at), n)]
+    run = textkit.pairs(owner[at], textkit.Covered(w, at, 3).windows)
     again = at[np.bincount(run)[run] > 1] if len(at) else at
-    covered = np.zeros(len(codes), dtype=bool)
+    covered = np.zeros(len(h), dtype=bool)
     for j in range(3):
         covered[again + j] = True
     out["n_repeat_words"] = per_text(covered, w.first)
-    return out, w
+    return out, w, h
 
 
 def base_failed(c: dict[str, np.ndarray]) -> np.ndarray:

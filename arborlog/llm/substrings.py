@@ -91,15 +91,15 @@ def _runs(sorted_: np.ndarray) -> np.ndarray:
 class Batch:
     """The suffixes of a batch of documents. All orders depend on the documents alone, so each reading of a batch has the same."""
 
-    def __init__(self, ids: np.ndarray, column: pa.Array, window: int, parts: int):
+    def __init__(self, ids: np.ndarray, column: pa.Array, window: int):
         self.window, self.words = window, textkit.Words(column)
         self.places = np.flatnonzero(textkit.fits(self.words, window))  # the word that each suffix starts with
         self.doc = ids[self.words.owner()[self.places]]
-        self.hashes = self.words.hashes()
-        marks = textkit.windows(self.hashes, window, self.places)
-        part = (marks % np.uint64(parts)).astype(np.int64)
-        # marks by part, then the half that is sent; what is equal in both counts as one
-        key = (part.astype(np.uint64) << np.uint64(32)) | (marks >> np.uint64(32))
+
+    def mark(self, parts: int) -> None:
+        """Hash the suffixes. A mark is the part of the sieve that it belongs to, and 32 bits more; equal words have equal marks."""
+        marks = textkit.windows(self.words.hashes(), self.window, self.places)
+        key = ((marks % np.uint64(parts)) << np.uint64(32)) | (marks >> np.uint64(32))
         order = np.argsort(key, kind="stable")
         cut = _runs(key[order])
         self.key = key[order[cut]]
@@ -116,27 +116,28 @@ class Batch:
             yield int(part[a]), (self.key[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
 
     def shared(self, replies: dict[int, bytes]) -> np.ndarray:
-        """For each mark: is it in another batch or in several documents of this one? replies: bits of each part."""
+        """For each suffix: is its mark in another batch or in several documents of this one? replies: bits of each part."""
         out, part = self.several.copy(), (self.key >> np.uint64(32)).astype(np.int64)
         for g, bits in replies.items():
             a, b = np.searchsorted(part, [g, g + 1])
             out[a:b] |= np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=b - a).astype(bool)
-        return out
+        return out[self.of]
 
     def sift(self, shared: np.ndarray, groups: Groups) -> None:
-        """Keep the suffixes with shared marks, and of those with equal words the one with the smallest doc_id to send."""
-        self.kept = np.flatnonzero(shared[self.of])
-        codes, _ = self.words.coded
-        # equal words have equal marks, so all of them are kept or none
-        words = textkit.window_codes(codes, self.window)[self.places[self.kept]] if len(self.kept) else _NOTHING
+        """Keep the suffixes with shared marks, and of those with equal words the one with the smallest doc_id to send.
+
+        Equal words have equal marks, so all of them are kept or none.
+        """
+        self.kept = np.flatnonzero(shared)
+        self.part = part = textkit.Covered(self.words, self.places[self.kept], self.window)
         doc = self.doc[self.kept]
-        order = np.lexsort((doc, words))
-        cut = _runs(words[order])
+        order = np.lexsort((doc, part.windows))
+        cut = _runs(part.windows[order])
         first = order[cut]
         node = np.empty(len(order), dtype=np.int64)
         node[order] = np.repeat(np.arange(len(cut)), np.diff([*cut, len(order)]))
-        places = self.places[self.kept[first]]
-        group = groups([textkit.windows(self.hashes, k, places) for k in levels(self.window)])
+        hashes, places = textkit.span_hashes(self.words.data, part.starts, part.ends), part.place[first]
+        group = groups([textkit.windows(hashes, k, places) for k in levels(self.window)])
         table, rank = np.unique(doc[first], return_inverse=True)
         sent = np.lexsort((places, rank, group))
         self.group, self.table, self.rank, self.sent_places = group[sent], table, rank[sent], places[sent]
@@ -146,15 +147,14 @@ class Batch:
 
     def suffixes(self):
         """(tree, words, codes of the suffixes' words by place in the window, doc_ids) for each tree that the batch meets."""
-        codes, known = self.words.coded
         cut = _runs(self.group)
         for a, b in zip(cut, [*cut[1:], len(self.group)]):
-            part = codes[self.sent_places[a:b][None, :] + np.arange(self.window)[:, None]]
+            part = self.part.codes[self.sent_places[a:b][None, :] + np.arange(self.window)[:, None]]
             used, own = np.unique(part, return_inverse=True)
             kind = "<u2" if len(used) < 1 << 16 else "<u4"
             rank, n = np.unique(self.rank[a:b], return_counts=True)
             head = np.concatenate([[len(rank)], np.diff(self.table[rank], prepend=0), n]).astype("<i8")
-            text = b" ".join(known[i] for i in used.tolist())
+            text = b" ".join(self.part.known[i] for i in used.tolist())
             yield int(self.group[a]), zlib.compress(text, 1), zlib.compress(own.reshape(part.shape).astype(kind).tobytes(), 1), zlib.compress(head.tobytes(), 1)
 
     def covered(self, replies: dict[int, bytes]) -> np.ndarray:
@@ -282,10 +282,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def batch(left):
         b = _one(left)
-        return b, Batch(_numbers(b.column(0)), b.column(1), window, n_parts)
+        return b, Batch(_numbers(b.column(0)), b.column(1), window)
 
     def send(key, table):
         _, own = batch(table)
+        own.mark(n_parts)
         found = list(own.marks())
         return pa.table({"g": pa.array([x[0] for x in found], pa.int32()), "m": pa.array([key[0].as_py()] * len(found), pa.int32()), "marks": pa.array([x[1] for x in found], pa.binary())})
 
@@ -298,10 +299,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def sift(key, left, right):
         _, own = batch(left)
-        marks = own.shared(replies(right))
-        own.sift(marks, shared.value)
+        own.mark(n_parts)
+        alike = own.shared(replies(right))
+        own.sift(alike, shared.value)
         # what was found shared goes along, to a group of its own that hands it back
-        found = [(-1 - key[0].as_py(), b"", np.packbits(marks).tobytes(), b""), *own.suffixes()]
+        found = [(-1 - key[0].as_py(), b"", np.packbits(alike).tobytes(), b""), *own.suffixes()]
         names = ("g", "words", "codes", "head")
         return pa.table({n: pa.array([x[i] for x in found], pa.binary() if i else pa.int32()) for i, n in enumerate(names)} | {"m": pa.array([key[0].as_py()] * len(found), pa.int32())}).select(["g", "m", "words", "codes", "head"])
 
@@ -312,8 +314,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def finish(key, left, right):
         b, own = batch(left)
         found = replies(right)
-        marks = np.unpackbits(np.frombuffer(found.pop(-1 - key[0].as_py()), dtype=np.uint8), count=len(own.key)).astype(bool)
-        own.sift(marks, shared.value)
+        own.sift(np.unpackbits(np.frombuffer(found.pop(-1 - key[0].as_py()), dtype=np.uint8), count=len(own.places)).astype(bool), shared.value)
         gone, words = own.covered(found), own.words
         sums = np.concatenate([[0], np.cumsum(gone)])[words.first]
         data, kept = words.data.tobytes(), []

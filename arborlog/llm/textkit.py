@@ -1,23 +1,35 @@
-"""Word tables over Arrow string columns, in numpy: where words are, which are equal, and a 64-bit hash of each.
+"""Word tables over Arrow string columns, in numpy: where words are, a quick hash of each, and codes that tell which are equal.
 
 A word is a run of bytes outside space and 0x09..0x0D; in UTF-8 these bytes stand for themselves
-only, so the words are those of the text. Inside a column, words and windows of words have codes that are equal exactly if
-they are; between columns they are told by XXH64 of each distinct word.
+only, so the words are those of the text. Quick hashes are polynomials over bytes modulo 2**64, finally mixed: equal words have equal
+hashes, and different ones seldom do, but some long texts of few letters do by construction. So hashes only say which words are
+worth a comparison; codes, which compare bytes, decide.
 """
 
 from __future__ import annotations
 
-from functools import cached_property
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 
+_rng = np.random.Generator(np.random.PCG64(20240607))
+_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = int(_rng.integers(1, 2**62)) * 4 + 1
+_BACK = pow(_STEP, -1, 2**64)
 #: Odd multipliers of the words of a window, by place.
-_PLACE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
+SEGMENT = 1 << 20
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power(kind: str, base: int, n: int) -> np.ndarray:
+    if kind not in _powers or len(_powers[kind]) < n:
+        x = np.full(max(n, SEGMENT + 1), base, dtype=np.uint64)
+        x[0] = 1
+        _powers[kind] = np.cumprod(x, dtype=np.uint64)
+    return _powers[kind]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,6 +41,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each byte span; spans are sorted and don't overlap. Works through segments of the data."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SEGMENT, side="right")))
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        up, back = _power("up", _STEP, hi - lo + 1), _power("back", _BACK, hi - lo + 1)
+        sums = np.zeros(hi - lo + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[data[lo:hi]] * up[: hi - lo], out=sums[1:])
+        s, e = starts[i:j] - lo, ends[i:j] - lo
+        out[i:j] = mix((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        i = j
+    return out
+
+
 def coded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """A code for each byte span, equal exactly if the spans are, and the distinct spans by code. Spans are sorted and don't overlap."""
     edges = np.zeros(len(data) + 1, dtype=np.int8)
@@ -89,14 +117,8 @@ class Words:
         self.first = np.searchsorted(self.starts, self.at)
         self.counts = np.diff(self.first)
 
-    @cached_property
-    def coded(self) -> tuple[np.ndarray, list[bytes]]:
-        """A code of each word, and the distinct words."""
-        return coded(self.data, self.starts, self.ends)
-
     def hashes(self) -> np.ndarray:
-        codes, known = self.coded
-        return np.array([xxhash.xxh64_intdigest(w) for w in known], dtype=np.uint64)[codes]
+        return span_hashes(self.data, self.starts, self.ends)
 
     def owner(self) -> np.ndarray:
         """For each word, the number of its text."""
@@ -118,3 +140,18 @@ def fits(words: Words, k: int) -> np.ndarray:
         return np.zeros(0, dtype=bool)
     left = np.repeat(words.first[1:], words.counts)[:n] - np.arange(n)
     return left >= k
+
+
+class Covered:
+    """The words of some windows of k words alone, with codes of their words and of the windows."""
+
+    def __init__(self, words: Words, places: np.ndarray, k: int):
+        edges = np.zeros(len(words.starts) + 1, dtype=np.int64)
+        edges[places] += 1  # no window is named twice, so neither is an end
+        edges[places + k] -= 1
+        inside = np.cumsum(edges[:-1]) > 0
+        self.place = (np.cumsum(inside) - 1)[places]  # where each window begins among the covered words
+        self.starts, self.ends = words.starts[inside], words.ends[inside]
+        self.codes, self.known = coded(words.data, self.starts, self.ends)
+        # words that are neighbours here but not in the text are in no window of these places
+        self.windows = window_codes(self.codes, k)[self.place] if len(places) else np.zeros(0, dtype=np.int64)

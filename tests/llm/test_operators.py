@@ -226,8 +226,8 @@ def test_words_that_simple_hashes_confuse(spark):
     assert rules.vote_table(lines).first()["n_dup_lines"] == 1
 
 
-def test_trees_tell_words_whose_marks_collide(spark, monkeypatch):
-    """With a hash that has hardly any values, the sieve lets all through, and the trees still decide by words."""
+def test_trees_tell_words_whose_marks_collide():
+    """Where the sieve lets all suffixes through, as with marks that all collide, the trees still decide by words."""
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice("ab") for _ in range(40))) for i in range(30)]
     rows += [(100 + i, rows[i][1]) for i in range(5)]
@@ -241,10 +241,8 @@ def test_trees_tell_words_whose_marks_collide(spark, monkeypatch):
         want[i] = sum(gone)
     column = __import__("pyarrow").array([t for _, t in rows])
     groups = substrings.Groups(np.ones((5, 1 << 14), dtype=np.int64), 1)
-    own = substrings.Batch(np.array([i for i, _ in rows]), column, 13, 1)
-    own.key = np.zeros(1, dtype=np.uint64)
-    own.of[:] = 0
-    own.sift(np.ones(1, dtype=bool), groups)
+    own = substrings.Batch(np.array([i for i, _ in rows]), column, 13)
+    own.sift(np.ones(len(own.places), dtype=bool), groups)
     parts = list(own.suffixes())
     bits = substrings.judged([parts[0][1]] * 2, [parts[0][2]] * 2, [parts[0][3]] * 2, 13)
     gone = own.covered({0: bits[0]})
