@@ -88,6 +88,16 @@ def _runs(sorted_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, compressed: the high bytes of small numbers take hardly any room."""
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 class Batch:
     """The suffixes of a batch of documents. All orders depend on the documents alone, so each reading of a batch has the same."""
 
@@ -113,7 +123,7 @@ class Batch:
         part = (self.key >> np.uint64(32)).astype(np.int64)
         cut = _runs(part)
         for a, b in zip(cut, [*cut[1:], len(part)]):
-            yield int(part[a]), (self.key[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+            yield int(part[a]), _packed(np.diff((self.key[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4"), prepend=np.uint32(0)))
 
     def shared(self, replies: dict[int, bytes]) -> np.ndarray:
         """For each suffix: is its mark in another batch or in several documents of this one? replies: bits of each part."""
@@ -147,15 +157,20 @@ class Batch:
 
     def suffixes(self):
         """(tree, words, codes of the suffixes' words by place in the window, doc_ids) for each tree that the batch meets."""
-        cut = _runs(self.group)
+        cut, known = _runs(self.group), self.part.known
+        # codes in the order of the words, as neighbours in order are alike and so compress
+        order = sorted(range(len(known)), key=known.__getitem__)
+        rank = np.empty(len(known), dtype=np.int64)
+        rank[order] = np.arange(len(known))
+        codes = rank[self.part.codes]
         for a, b in zip(cut, [*cut[1:], len(self.group)]):
-            part = self.part.codes[self.sent_places[a:b][None, :] + np.arange(self.window)[:, None]]
+            part = codes[self.sent_places[a:b][None, :] + np.arange(self.window)[:, None]]
             used, own = np.unique(part, return_inverse=True)
             kind = "<u2" if len(used) < 1 << 16 else "<u4"
-            rank, n = np.unique(self.rank[a:b], return_counts=True)
-            head = np.concatenate([[len(rank)], np.diff(self.table[rank], prepend=0), n]).astype("<i8")
-            text = b" ".join(self.part.known[i] for i in used.tolist())
-            yield int(self.group[a]), zlib.compress(text, 1), zlib.compress(own.reshape(part.shape).astype(kind).tobytes(), 1), zlib.compress(head.tobytes(), 1)
+            docs, n = np.unique(self.rank[a:b], return_counts=True)
+            head = np.concatenate([[len(docs)], np.diff(self.table[docs], prepend=0), n]).astype("<i8")
+            text = b" ".join(known[order[i]] for i in used.tolist())
+            yield int(self.group[a]), zlib.compress(text, 1), _packed(own.ravel().astype(kind)), zlib.compress(head.tobytes(), 1)
 
     def covered(self, replies: dict[int, bytes]) -> np.ndarray:
         """For each word of the batch, whether it is removed, given each tree's bits: does a smaller document have the node?"""
@@ -173,14 +188,15 @@ class Batch:
 
 def sieved(marks: list[bytes]) -> list[bytes]:
     """For each batch's marks of one part: bits that tell whether another batch has the mark."""
-    all_ = np.concatenate([np.frombuffer(m, dtype="<u4") for m in marks])
+    parts = [np.cumsum(_unpacked(m, "<u4"), dtype=np.uint32) for m in marks]
+    all_ = np.concatenate(parts)
     order = np.argsort(all_, kind="stable")
     cut = _runs(all_[order])
     n = np.diff([*cut, len(all_)])
     bits = np.empty(len(all_), dtype=bool)
     bits[order] = np.repeat(n > 1, n)
-    ends = np.cumsum([len(m) // 4 for m in marks])
-    return [np.packbits(bits[e - len(m) // 4 : e]).tobytes() for e, m in zip(ends, marks)]
+    ends = np.cumsum([len(m) for m in parts])
+    return [np.packbits(bits[e - len(m) : e]).tobytes() for e, m in zip(ends, parts)]
 
 
 class Tree:
@@ -213,11 +229,10 @@ def judged(texts: list[bytes], codes: list[bytes], heads: list[bytes], window: i
         k = int(x[0])
         docs.append(np.repeat(np.cumsum(x[1 : k + 1]), x[k + 1 :]))
         own = zlib.decompress(text).split(b" ")
-        part = np.frombuffer(zlib.decompress(code), dtype="<u2" if len(own) < 1 << 16 else "<u4").reshape(window, -1)
-        parts.append(part.astype(np.int64) + first)
+        parts.append(_unpacked(code, "<u2" if len(own) < 1 << 16 else "<u4").reshape(window, -1).astype(np.int32) + first)
         words += own
         first += len(own)
-    number = pa.array(words, pa.large_binary()).dictionary_encode().indices.to_numpy()
+    number = pa.array(words, pa.large_binary()).dictionary_encode().indices.to_numpy()  # 32 bits
     tree = Tree(number[np.concatenate(parts, axis=1)])
     doc = np.concatenate(docs)
     node = tree.nodes(window)
@@ -276,7 +291,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         counts[r["level"], r["cell"]] = r["n"]
     total = int(counts[0].sum())
     n_parts = max(slots(spark), total * 4 // SIEVE_BYTES + 1)
-    n_trees = max(slots(spark), total * 4 * (window + 2) // TREE_BYTES + 1)
+    n_trees = max(slots(spark) // 2, total * 4 * (window + 2) // TREE_BYTES + 1)
     n_batches = max(slots(spark), n_bytes // min(MOST_BATCH_BYTES, max(BATCH_BYTES, int(BATCH_ROOT * n_bytes**0.5))) + 1)
     shared = spark.sparkContext.broadcast(Groups(counts, n_trees))
 
