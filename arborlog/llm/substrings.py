@@ -98,6 +98,30 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+#: Longest beginning that a word takes over from the one before it.
+_TAKEN = 16
+
+
+def front_coded(words: list[bytes]) -> bytes:
+    """Words in order, each as how many bytes it shares with the one before it (from 33 on, so that none is a space) and the rest."""
+    if not words:
+        return b""
+    table = np.array(words, dtype=f"S{_TAKEN}")
+    same = np.cumprod(table[1:].view(np.uint8).reshape(-1, _TAKEN) == table[:-1].view(np.uint8).reshape(-1, _TAKEN), axis=1).sum(axis=1)
+    size = np.minimum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)), _TAKEN)
+    shared = np.concatenate([[0], np.minimum(same, np.minimum(size[1:], size[:-1]))])
+    head = [bytes([33 + k]) for k in range(_TAKEN + 1)]
+    return zlib.compress(b" ".join([head[k] + w[k:] for k, w in zip(shared.tolist(), words)]), 1)
+
+
+def front_decoded(data: bytes) -> list[bytes]:
+    out, last = [], b""
+    for x in zlib.decompress(data).split(b" ") if data else ():
+        last = last[: x[0] - 33] + x[1:]
+        out.append(last)
+    return out
+
+
 class Batch:
     """The suffixes of a batch of documents. All orders depend on the documents alone, so each reading of a batch has the same."""
 
@@ -169,8 +193,7 @@ class Batch:
             kind = "<u2" if len(used) < 1 << 16 else "<u4"
             docs, n = np.unique(self.rank[a:b], return_counts=True)
             head = np.concatenate([[len(docs)], np.diff(self.table[docs], prepend=0), n]).astype("<i8")
-            text = b" ".join(known[order[i]] for i in used.tolist())
-            yield int(self.group[a]), zlib.compress(text, 1), _packed(own.ravel().astype(kind)), zlib.compress(head.tobytes(), 1)
+            yield int(self.group[a]), front_coded([known[order[i]] for i in used.tolist()]), _packed(own.ravel().astype(kind)), zlib.compress(head.tobytes(), 1)
 
     def covered(self, replies: dict[int, bytes]) -> np.ndarray:
         """For each word of the batch, whether it is removed, given each tree's bits: does a smaller document have the node?"""
@@ -228,7 +251,7 @@ def judged(texts: list[bytes], codes: list[bytes], heads: list[bytes], window: i
         x = np.frombuffer(zlib.decompress(head), dtype="<i8")
         k = int(x[0])
         docs.append(np.repeat(np.cumsum(x[1 : k + 1]), x[k + 1 :]))
-        own = zlib.decompress(text).split(b" ")
+        own = front_decoded(text)
         parts.append(_unpacked(code, "<u2" if len(own) < 1 << 16 else "<u4").reshape(window, -1).astype(np.int32) + first)
         words += own
         first += len(own)

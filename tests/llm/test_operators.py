@@ -250,6 +250,13 @@ def test_trees_tell_words_whose_marks_collide():
     assert dict(zip([i for i, _ in rows], np.diff(sums).tolist())) == want
 
 
+def test_front_coding():
+    rng = random.Random(2)
+    for n in (0, 1, 2, 300):
+        words = sorted({bytes(rng.choice(b"ab\x00\xe9") for _ in range(rng.randrange(1, 40))) for _ in range(n)})
+        assert substrings.front_decoded(substrings.front_coded(words)) == words
+
+
 def test_tree_nodes():
     words = np.array([[1, 2, 3], [1, 2, 4], [1, 2, 3], [2, 2, 3], [1, 9, 3]]).T
     tree = substrings.Tree(words)
