@@ -19,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,30 +99,6 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-#: Longest beginning that a word takes over from the one before it.
-_TAKEN = 16
-
-
-def front_coded(words: list[bytes]) -> bytes:
-    """Words in order, each as how many bytes it shares with the one before it (from 33 on, so that none is a space) and the rest."""
-    if not words:
-        return b""
-    table = np.array(words, dtype=f"S{_TAKEN}")
-    same = np.cumprod(table[1:].view(np.uint8).reshape(-1, _TAKEN) == table[:-1].view(np.uint8).reshape(-1, _TAKEN), axis=1).sum(axis=1)
-    size = np.minimum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)), _TAKEN)
-    shared = np.concatenate([[0], np.minimum(same, np.minimum(size[1:], size[:-1]))])
-    head = [bytes([33 + k]) for k in range(_TAKEN + 1)]
-    return zlib.compress(b" ".join([head[k] + w[k:] for k, w in zip(shared.tolist(), words)]), 1)
-
-
-def front_decoded(data: bytes) -> list[bytes]:
-    out, last = [], b""
-    for x in zlib.decompress(data).split(b" ") if data else ():
-        last = last[: x[0] - 33] + x[1:]
-        out.append(last)
-    return out
-
-
 class Batch:
     """The suffixes of a batch of documents. All orders depend on the documents alone, so each reading of a batch has the same."""
 
@@ -193,7 +170,7 @@ class Batch:
             kind = "<u2" if len(used) < 1 << 16 else "<u4"
             docs, n = np.unique(self.rank[a:b], return_counts=True)
             head = np.concatenate([[len(docs)], np.diff(self.table[docs], prepend=0), n]).astype("<i8")
-            yield int(self.group[a]), front_coded([known[order[i]] for i in used.tolist()]), _packed(own.ravel().astype(kind)), zlib.compress(head.tobytes(), 1)
+            yield int(self.group[a]), zlib.compress(b" ".join([known[order[i]] for i in used.tolist()]), 1), _packed(own.ravel().astype(kind)), zlib.compress(head.tobytes(), 1)
 
     def covered(self, replies: dict[int, bytes]) -> np.ndarray:
         """For each word of the batch, whether it is removed, given each tree's bits: does a smaller document have the node?"""
@@ -251,7 +228,7 @@ def judged(texts: list[bytes], codes: list[bytes], heads: list[bytes], window: i
         x = np.frombuffer(zlib.decompress(head), dtype="<i8")
         k = int(x[0])
         docs.append(np.repeat(np.cumsum(x[1 : k + 1]), x[k + 1 :]))
-        own = front_decoded(text)
+        own = zlib.decompress(text).split(b" ")
         parts.append(_unpacked(code, "<u2" if len(own) < 1 << 16 else "<u4").reshape(window, -1).astype(np.int32) + first)
         words += own
         first += len(own)
@@ -271,8 +248,16 @@ def _numbers(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
 
 
-def _one(table: pa.Table) -> pa.RecordBatch:
-    return table.select(["doc_id", "text"]).combine_chunks().to_batches()[0]
+def _chunk(parts: list[pa.RecordBatch]) -> bytes:
+    """Rows as one compressed value."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, parts[0].schema) as stream:
+        stream.write_table(pa.Table.from_batches(parts).combine_chunks())
+    return zlib.compress(out.getvalue(), 1)
+
+
+def _rows(chunk: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(zlib.decompress(chunk)).read_all().combine_chunks().to_batches()[0]
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -281,8 +266,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs(doc_id, text, ...) -> (doc_id, n_words, n_removed, kept string, repeats) for each input row; repeats: the maximal runs
     of removed words as (first word, number of words). Runs are judged on the input. Other columns are ignored.
 
-    One pass counts prefixes in hash cells and fixes the trees. Rows are dealt into batches of a few MB by their
-    place in the input, whatever their doc_id. Each batch sends its marks to the sieve, and of those that come back as shared
+    One pass counts prefixes in hash cells and fixes the trees. Rows go by their place in the input, whatever their doc_id, into
+    batches of a few MB, each one compressed value. Each batch sends its marks to the sieve, and of those that come back as shared
     each distinct suffix once, with its smallest doc_id in the batch, to the suffix's tree; so a passage that a third of all
     documents share is sent once for each batch, not for each document. A tree answers with one bit for each suffix.
     The batch marks the words and joins what is kept. Texts are shuffled once and read three times.
@@ -315,18 +300,34 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     total = int(counts[0].sum())
     n_parts = max(slots(spark), total * 4 // SIEVE_BYTES + 1)
     n_trees = max(slots(spark) // 2, total * 4 * (window + 2) // TREE_BYTES + 1)
-    n_batches = max(slots(spark), n_bytes // min(MOST_BATCH_BYTES, max(BATCH_BYTES, int(BATCH_ROOT * n_bytes**0.5))) + 1)
+    limit = min(MOST_BATCH_BYTES, max(BATCH_BYTES, int(BATCH_ROOT * n_bytes**0.5)))
     shared = spark.sparkContext.broadcast(Groups(counts, n_trees))
 
+    def deal(batches):
+        first, held, size, n = TaskContext.get().partitionId() << 32, [], 0, 0
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array([first + n], pa.int64()), pa.array([_chunk(held)], pa.binary())], ["m", "chunk"])
+
+        for b in batches:
+            for part in sliced(b, 1, limit // 8):
+                if size + part.nbytes > limit and held:
+                    yield flush()
+                    held, size, n = [], 0, n + 1
+                held.append(part)
+                size += part.nbytes
+        if held:
+            yield flush()
+
     def batch(left):
-        b = _one(left)
+        b = _rows(left.column("chunk")[0].as_py())
         return b, Batch(_numbers(b.column(0)), b.column(1), window)
 
     def send(key, table):
         _, own = batch(table)
         own.mark(n_parts)
         found = list(own.marks())
-        return pa.table({"g": pa.array([x[0] for x in found], pa.int32()), "m": pa.array([key[0].as_py()] * len(found), pa.int32()), "marks": pa.array([x[1] for x in found], pa.binary())})
+        return pa.table({"g": pa.array([x[0] for x in found], pa.int32()), "m": pa.array([key[0].as_py()] * len(found), pa.int64()), "marks": pa.array([x[1] for x in found], pa.binary())})
 
     def sieve(key, table):
         bits = sieved(table.column("marks").to_pylist()) if len(table) else []
@@ -343,7 +344,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         # what was found shared goes along, to a group of its own that hands it back
         found = [(-1 - key[0].as_py(), b"", np.packbits(alike).tobytes(), b""), *own.suffixes()]
         names = ("g", "words", "codes", "head")
-        return pa.table({n: pa.array([x[i] for x in found], pa.binary() if i else pa.int32()) for i, n in enumerate(names)} | {"m": pa.array([key[0].as_py()] * len(found), pa.int32())}).select(["g", "m", "words", "codes", "head"])
+        return pa.table({n: pa.array([x[i] for x in found], pa.binary() if i else pa.int64()) for i, n in enumerate(names)} | {"m": pa.array([key[0].as_py()] * len(found), pa.int64())}).select(["g", "m", "words", "codes", "head"])
 
     def judge(key, table):
         bits = table.column("codes") if key[0].as_py() < 0 else pa.array(judged(*(table.column(k).to_pylist() for k in ("words", "codes", "head")), window), pa.binary())
@@ -371,11 +372,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return pa.table({"doc_id": b.column(0), "n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(np.diff(sums), pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "repeats": pa.ListArray.from_arrays(pa.array(ends), spans)})
 
     # the three readings of ``dealt`` are one exchange, which Spark reuses
-    dealt = rows.withColumn("m", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_batches)).cast("int")).select("m", "doc_id", "text")
-    sent = dealt.groupBy("m").applyInArrow(send, "g int, m int, marks binary")
-    alike = sent.groupBy("g").applyInArrow(sieve, "m int, g int, bits binary")
-    passed = dealt.groupBy("m").cogroup(alike.groupBy("m")).applyInArrow(sift, "g int, m int, words binary, codes binary, head binary")
-    told = passed.groupBy("g").applyInArrow(judge, "m int, g int, bits binary")
+    dealt = rows.mapInArrow(deal, "m long, chunk binary")
+    sent = dealt.groupBy("m").applyInArrow(send, "g int, m long, marks binary")
+    alike = sent.groupBy("g").applyInArrow(sieve, "m long, g int, bits binary")
+    passed = dealt.groupBy("m").cogroup(alike.groupBy("m")).applyInArrow(sift, "g long, m long, words binary, codes binary, head binary")
+    told = passed.groupBy("g").applyInArrow(judge, "m long, g long, bits binary")
     return dealt.groupBy("m").cogroup(told.groupBy("m")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept string, repeats array<struct<start:long,length:long>>")
 
 
