@@ -13,8 +13,9 @@ from arborlog.llm.rules import _SLICE
 
 #: Features: hashed words, word shapes, and bins of document counts.
 DIM = 1 << 15
-#: About so many rows are fitted on, picked by a hash of doc_id; a documented bound. At most DIM numbers a row reach the driver.
-FIT_ROWS = 4096
+#: About so many rows are fitted on, picked by a hash of doc_id and text, and so many features of them at most (a feature takes
+#: 8 bytes); documented bounds of what reaches the driver, whatever the rows are.
+FIT_ROWS, FIT_FEATURES = 4096, 8 << 20
 _CLASS = np.zeros(256, dtype=np.uint64)
 for _i, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:?!'\"()", b"#*$%&|<>"), start=1):
     _CLASS[list(_chars)] = _i
@@ -81,14 +82,26 @@ def train(row: np.ndarray, bucket: np.ndarray, weight: np.ndarray, label: np.nda
     return Scorer(w, bias)
 
 
-def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Scorer:
-    """Labels by the vote model of all rows' heuristics; the scorer on about ``rows`` rows picked by a hash of doc_id."""
+def picked(docs: DataFrame, rows: int, total: int) -> DataFrame:
+    """About ``rows`` of ``total`` rows by a hash of doc_id and text, at most twice as many, and some if there are any.
+
+    A share of all is picked by threshold. Where rows are so alike that their hashes are all on one side, the bound holds on
+    the one, and on the other the first rows stand in.
+    """
+    if total <= rows:
+        return docs
+    below = max(1, int(rows / total * (1 << 30)))
+    seen = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(1 << 30)) < below).limit(2 * rows)
+    return docs.limit(rows) if seen.isEmpty() else seen
+
+
+def fit(docs: DataFrame, rows: int = FIT_ROWS, most: int = FIT_FEATURES) -> Scorer:
+    """Labels by the vote model of all rows' heuristics; the scorer on a sample of rows (``picked``), up to ``most`` features of them."""
     small_batches(docs.sparkSession)
     table = pinned(rules.vote_table(docs).select("votes"))
     model, _ = rules.fit_votes(table)
-    total = table.count()
-    part = min(1.0, rows / max(1, total))
-    seen = docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(1 << 30)) < int(part * (1 << 30))) if part < 1 else docs
+    text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    seen = picked(text, rows, table.count()).select("text")
 
     def run(batches):
         for b in batches:
@@ -98,19 +111,26 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Scorer:
                 sums = np.bincount(back, weights=np.concatenate(weight))
                 cut = np.searchsorted(key, np.arange(piece.num_rows + 1) * DIM)
                 good = model(signals.votes(c))
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(key % DIM, pa.int32())), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(sums, pa.float32())), pa.array(good, pa.float64())], ["bucket", "weight", "label"])
+                rows = [((key[i:j] % DIM).astype("<i4").tobytes(), sums[i:j].astype("<f4").tobytes()) for i, j in zip(cut[:-1], cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.binary()) for k in range(2)] + [pa.array(good, pa.float64())], ["bucket", "weight", "label"])
 
-    found = seen.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket array<int>, weight array<float>, label double").toArrow()
-    label = found.column("label").to_numpy()
-    size = found.column("bucket").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if len(label) else np.zeros(0, dtype=int)
-    flat = [found.column(k).combine_chunks().flatten().to_numpy(zero_copy_only=False) if len(label) else np.zeros(0) for k in ("bucket", "weight")]
-    return train(np.repeat(np.arange(len(label)), size), flat[0].astype(np.int64), flat[1].astype(float), label)
+    bucket, weight, label, size = [], [], [], []
+    for r in seen.mapInArrow(run, "bucket binary, weight binary, label double").toLocalIterator():
+        if sum(size) + len(r["bucket"]) // 4 > most and size:
+            break
+        bucket.append(np.frombuffer(r["bucket"], dtype="<i4"))
+        weight.append(np.frombuffer(r["weight"], dtype="<f4"))
+        label.append(r["label"])
+        size.append(len(bucket[-1]))
+    joined = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, dtype=kind)
+    return train(np.repeat(np.arange(len(label)), size), joined(bucket, np.int64), joined(weight, float), np.array(label))
 
 
 def score(docs: DataFrame, scorer: Scorer, least: float = 0.5) -> DataFrame:
     """(doc_id, score, kept) for each row of docs(doc_id, text, ...), from the whole text.
 
-    Null or empty text: score 0, not kept. Null doc_id and repeated rows: a row each. Empty table: no rows.
+    Null or empty text: score 0, not kept. Null doc_id and repeated rows: a row each. Empty table: no rows. A score of exactly
+    ``least`` is kept. Other columns are ignored.
     The scorer (DIM numbers) is broadcast.
     """
     small_batches(docs.sparkSession)
