@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from arborlog.llm.common import connected, if_small, pinned, slots, small_batches
 from arborlog.llm.simhash import spanning
 
-TREES = 4
+TREES = 6
 #: Vectors of a leaf that are compared by one task; a larger leaf that can't be split is cut into pairs of such pieces.
 LEAF = 1024
-#: Half the width, in cosine units, of the band around a split that goes to both sides.
-BAND = 0.03
+#: Half the width of the band around a split that goes to both sides, as a share of what two linked vectors' projections differ by as a
+#: rule: their distance over the root of the dimension. Projections of all vectors spread with the same root, so a band
+#: takes the same share of them, a tenth, in any dimension.
+BAND = 0.6
 #: About so many vectors of a node are looked at to split it; levels that one round adds.
 SAMPLE, DEPTH = 512, 6
 #: A split must leave both sides at most this share of the node, band included.
@@ -32,7 +34,13 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def split(sample: np.ndarray, rng: np.random.Generator, depth: int, least: int):
+def band(dimension: int, least: float) -> float:
+    """Half the width of a split's band: vectors of cosine ``least`` are sqrt(2 - 2 least) apart, and their projections
+    on a random direction about that over the root of the dimension."""
+    return BAND * (2 - 2 * least) ** 0.5 / max(1, dimension) ** 0.5
+
+
+def split(sample: np.ndarray, rng: np.random.Generator, depth: int, least: int, width: float):
     """A subtree over unit vectors: None for a leaf, else (direction, threshold, left, right).
 
     Of four random directions the one with the narrowest overlap is taken, cut at the median.
@@ -45,31 +53,31 @@ def split(sample: np.ndarray, rng: np.random.Generator, depth: int, least: int):
         d /= np.linalg.norm(d)
         p = sample @ d
         cut = float(np.median(p))
-        share = max((p <= cut + BAND).mean(), (p >= cut - BAND).mean())
+        share = max((p <= cut + width).mean(), (p >= cut - width).mean())
         if best is None or share < best[0]:
             best = share, d, cut, p
     share, d, cut, p = best
     if share > SHARE:
         return None
-    return d, cut, split(sample[p <= cut + BAND], rng, depth - 1, least), split(sample[p >= cut - BAND], rng, depth - 1, least)
+    return d, cut, split(sample[p <= cut + width], rng, depth - 1, least, width), split(sample[p >= cut - width], rng, depth - 1, least, width)
 
 
-def leaves(tree, x: np.ndarray, rows: np.ndarray, path: int = 1):
+def leaves(tree, x: np.ndarray, rows: np.ndarray, width: float, path: int = 1):
     """(path, rows) of each leaf that rows reach; rows in the band of a split reach both sides."""
     if tree is None:
         yield path, rows
         return
     d, cut, left, right = tree
     p = x[rows] @ d
-    yield from leaves(left, x, rows[p <= cut + BAND], 2 * path)
-    yield from leaves(right, x, rows[p >= cut - BAND], 2 * path + 1)
+    yield from leaves(left, x, rows[p <= cut + width], width, 2 * path)
+    yield from leaves(right, x, rows[p >= cut - width], width, 2 * path + 1)
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _forest(distinct: DataFrame, trees: int, leaf: int) -> DataFrame:
+def _forest(distinct: DataFrame, trees: int, leaf: int, least: float) -> DataFrame:
     """distinct(rid, label, size, vec) -> pinned (rid, node long, vec): every leaf that each vector is in.
 
     A round splits each node of more than ``leaf`` vectors by a subtree fitted on a bounded sample of it.
@@ -86,7 +94,7 @@ def _forest(distinct: DataFrame, trees: int, leaf: int) -> DataFrame:
 
         def grow(key, pdf):
             x, n = unit(np.stack(pdf.sort_values("rid")["vec"].to_numpy())), int(pdf["n"].iloc[0])
-            tree = split(x, np.random.Generator(np.random.PCG64(key[0] & (2**63 - 1))), DEPTH, len(x) * leaf // n)
+            tree = split(x, np.random.Generator(np.random.PCG64(key[0] & (2**63 - 1))), DEPTH, len(x) * leaf // n, band(x.shape[1], least))
             return pd.DataFrame({"node": [key[0]], "tree": [pickle.dumps(tree)]})
 
         grown = pinned(seen.select("node", "rid", "vec", "n").groupBy("node").applyInPandas(grow, "node long, tree binary"))
@@ -104,7 +112,8 @@ def _forest(distinct: DataFrame, trees: int, leaf: int) -> DataFrame:
                     if t is None:
                         out.append(np.full(len(rows), own)), closed.append(np.full(len(rows), True)), row.append(rows)
                         continue
-                    for path, hit in leaves(t, unit(_vectors(vec.take(pa.array(rows)))), np.arange(len(rows))):
+                    x = unit(_vectors(vec.take(pa.array(rows))))
+                    for path, hit in leaves(t, x, np.arange(len(rows)), band(x.shape[1], least)):
                         mixed = (int(own) * 0x9E3779B97F4A7C15 + path * 0xBF58476D1CE4E5B9) & (2**64 - 1)
                         mixed ^= mixed >> 31
                         out.append(np.full(len(hit), np.uint64(mixed).view(np.int64))), closed.append(np.full(len(hit), False)), row.append(rows[hit])
@@ -149,7 +158,8 @@ def near_embeddings(table: DataFrame, least: float = 0.98, trees: int = TREES, l
     several leaves hold counts once. A leaf that can't be split is compared in pairs of bounded
     pieces, so none is cut short. Tasks return a count for each row and a spanning forest, not pairs.
 
-    A pair is missed only if in every tree some split has both outside its band on different sides.
+    A pair is missed only if in every tree some split has both outside its band on different sides: at cosine ``least`` about
+    one in a hundred a split, so one in 10**6 of the pairs that far apart after ten splits in six trees, and far fewer of closer ones.
     Null label, and vectors that are null, empty, zero or hold null or non-finite numbers: n_links 0,
     component_id the own vec_id, kept. Vectors of different lengths don't link. Null vec_id: null component unless
     linked. Rows that share a vec_id each get a row; equal vectors among them count as copies. Empty table: no rows.
@@ -161,7 +171,7 @@ def near_embeddings(table: DataFrame, least: float = 0.98, trees: int = TREES, l
     # a node's number is a hash of its label and vector
     keyed = rows.withColumn("rid", F.when(F.col("good"), F.xxhash64("label", "vec")))
     distinct = pinned(keyed.where("good").groupBy("label", "vec").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("rid").alias("rid")))
-    placed = _forest(distinct.select("rid", "label", "vec"), trees, leaf)
+    placed = _forest(distinct.select("rid", "label", "vec"), trees, leaf, least)
     own = placed.groupBy("rid").agg(F.sort_array(F.collect_list("node")).alias("inside"))  # a few nodes a tree
     crowd = pinned(placed.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
     met = (
