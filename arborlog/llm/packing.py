@@ -16,7 +16,40 @@ WINDOW = 1024
 #: Most groups of documents that are numbered apart; bounds the tables that the driver holds.
 GROUPS = 8192
 #: Most word pieces that a tokenizer worker remembers.
-CACHE = 300_000
+CACHE = 150_000
+
+
+def is_plain(file: dict) -> bool:
+    """Is a ``tokenizers`` file a byte-level BPE with none of the options that the quick encoder doesn't know?
+
+    Merges must be in the order of the ids that they make, as the quick encoder takes an id for a merge's rank.
+    """
+    model, before = file["model"], file.get("pre_tokenizer") or {}
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges") or []]
+    ids = [model["vocab"].get(m, -1) for m in merged]
+    return (
+        model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
+        and file.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        and ids == sorted(ids) and min(ids, default=0) >= 0
+        and not any(x.get(k) for x in file.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip"))
+    )
+
+
+class Slow:
+    """Ids by ``tokenizers`` itself, for files that ``is_plain`` doesn't hold for."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self._own = Tokenizer.from_file(path)
+
+    def __call__(self, text: str) -> bytes:
+        return np.array(self._own.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def encoder(path: str):
+    with open(path, encoding="utf-8") as f:
+        return Encoder(path) if is_plain(json.load(f)) else Slow(path)
 
 
 class Encoder:
@@ -37,8 +70,6 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         vocabulary, added = file["model"]["vocab"], file.get("added_tokens") or []
-        if odd_ones := [x["content"] for x in added if any(x.get(k) for k in ("single_word", "lstrip", "rstrip"))]:
-            raise ValueError(f"added tokens that look at their neighbours aren't supported: {odd_ones}")
         self._added = {x["content"]: np.array([x["id"]], dtype="<u4").tobytes() for x in added}
         self._marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self._added, key=len, reverse=True))) + ")") if added else None
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -102,7 +133,7 @@ def tokenized(docs: DataFrame, window: int, path: str | None) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
-        encode = Encoder(path or default_path())
+        encode = encoder(path or default_path())
         for b in batches:
             rows = [pieces_of(encode(t or "") + b"\0\0\0\0", window) for t in b.column(2).to_pylist()]
             n, full, rest, cut = zip(*rows) if rows else ((), (), (), ())
