@@ -99,6 +99,17 @@ def _links(task: np.ndarray, side: np.ndarray, fp: np.ndarray, bits: int):
     return np.concatenate(a), np.concatenate(b)
 
 
+def parts_for(fingerprints: int, bits: int = 4, least: int = 6) -> int:
+    """Blocks to cut a fingerprint into: as few as let a key of ``parts - bits`` blocks tell about a quarter of the fingerprints apart.
+
+    Six blocks make 15 keys of 21 bits, eight 70 keys of 32 bits: more keys, but strangers seldom share one.
+    """
+    parts = max(least, bits + 1)
+    while parts < 16 and _BITS * (parts - bits) / parts < fingerprints.bit_length() - 2:
+        parts += 1
+    return parts
+
+
 def near_links(fps: DataFrame, bits: int = 4, parts: int = 6) -> DataFrame:
     """fps(fp long, distinct) -> links(a, b) that connect all fingerprints within ``bits`` bits.
 
@@ -147,7 +158,7 @@ def _grouped(docs: DataFrame, bits: int, shingle: int) -> DataFrame:
     """(entry, doc_id, fp, root, component_id) for each row; root names the group."""
     prints = pinned(with_fingerprints(docs, shingle))
     nodes = pinned(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected(near_links(nodes.select("fp"), bits))
+    roots = connected(near_links(nodes.select("fp"), bits, parts_for(nodes.count(), bits)))
     named = pinned(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     # minima are pinned before they are joined back: few are broadcast, many meet in a join that can be split
     lowest = pinned(named.groupBy("root").agg(F.min("first").alias("component_id")))
@@ -172,7 +183,7 @@ def one_of_each(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
     """The rows of docs, all columns, without near-duplicates: of each group the row with the smallest doc_id stays.
 
     Rows are known by doc_id and a hash of the text, not by their place, so that a second reading of the files may split
-    them otherwise. The rows that go are taken out by an anti-join. Of repeated rows (one doc_id, one text) one stays.
+    them otherwise. The rows that go are taken out by an anti-join. Of repeated rows (one doc_id, one text) one stays. Empty table: no rows.
     """
     groups = pinned(_grouped(docs, bits, shingle).select("entry", "doc_id", "root"))
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "entry")).alias("kept"))
