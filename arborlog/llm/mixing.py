@@ -109,7 +109,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The rows of docs, all columns, each as often as the mix takes it. Texts aren't shuffled when the sources are few."""
+    """The rows of docs, all columns, each as often as the mix takes it. Texts aren't shuffled when the sources are few. Empty table: no rows."""
     cut = thresholds(_sized(docs), weights, share, most).select(F.col("s").alias("__s"), F.col("copies").alias("__copies"), F.col("threshold").alias("__threshold"))
     times = F.col("__copies").cast("int") + F.when(ticket(F.col("doc_id")) < F.col("__threshold"), 1).otherwise(0)
     return docs.join(if_small(cut), F.col("source").eqNullSafe(F.col("__s"))).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)

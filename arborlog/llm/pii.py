@@ -324,7 +324,7 @@ def masked_text(text: str | None) -> str | None:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with personal data in text replaced by [EMAIL], [IP], [CARD] or [PHONE]. n_chars, if there, follows."""
+    """docs, all columns, with personal data in text replaced by [EMAIL], [IP], [CARD] or [PHONE]. n_chars, if there, follows. Null text stays null. Empty table: no rows."""
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns and docs.schema["n_chars"].dataType.simpleString() == "bigint" else None

@@ -250,13 +250,6 @@ def test_trees_tell_words_whose_marks_collide():
     assert dict(zip([i for i, _ in rows], np.diff(sums).tolist())) == want
 
 
-def test_front_coding():
-    rng = random.Random(2)
-    for n in (0, 1, 2, 300):
-        words = sorted({bytes(rng.choice(b"ab\x00\xe9") for _ in range(rng.randrange(1, 40))) for _ in range(n)})
-        assert substrings.front_decoded(substrings.front_coded(words)) == words
-
-
 def test_tree_nodes():
     words = np.array([[1, 2, 3], [1, 2, 4], [1, 2, 3], [2, 2, 3], [1, 9, 3]]).T
     tree = substrings.Tree(words)
@@ -347,6 +340,114 @@ def test_many_languages_are_all_told_apart(spark, monkeypatch):
         langid.buckets_for(4 * langid.BUCKETS // langid.LEAST_BUCKETS + 1)
 
 
+def test_scores_of_batches_are_naive_bayes(spark):
+    """Batches, also of texts that span turns, against one text at a time with dense counts."""
+    rng = random.Random(12)
+    made = [(i, "".join(rng.choice("abcdeé 1\n") if i % 2 else rng.choice("xyzab ü") for _ in range(rng.randrange(1, 200))), f"l{i % 3}") for i in range(200)]
+    model = langid.fit(spark.createDataFrame(made, "doc_id long, text string, lang string"))
+    texts = [t for _, t, _ in made] + ["a", "ab", "", "é" * 9, "".join(rng.choice("abxyz ") for _ in range(langid.CHARS + 77)), "zz"]
+    want = np.array([langid.grams(t).astype(float) @ model.logp.astype(float) + model.prior for t in texts])
+    assert np.allclose(model.scores(texts), want, rtol=1e-9, atol=1e-6)
+    lang, score = model.judge(texts)
+    for t, x, p, w in zip(texts, lang, score, want):
+        assert (x, p) == ("und", 0.0) if not t else x == model.langs[int(w.argmax())] and abs(p - 1 / np.exp(w - w.max()).sum()) < 1e-6
+
+
+def test_fits_of_rows_that_are_all_alike(spark):
+    """Null and equal ids above the bound: the sample stays bounded, and nothing is left unlearned."""
+    text = " ".join(["the quick brown fox jumps over a lazy dog and so on"] * 6) + "."
+    same = spark.createDataFrame([(None, text + (" !" if i % 2 else ""), "en", i % 2) for i in range(600)], "doc_id long, text string, lang string, k int")
+    assert 0 < classifier.picked(same, 64, 600).count() <= 128
+    alike = same.where("k = 0").drop("k")
+    assert 0 < classifier.picked(alike, 64, 300).count() <= 128
+    assert len(classifier.fit(alike, rows=64).weights) == classifier.DIM
+    assert langid.fit(alike, rows=8).langs == ["en"]
+
+
+def test_classifier_against_a_plain_scorer(spark):
+    """Features counted one word at a time, and the gradient by plain loops, on a small table."""
+    import pyarrow as pa
+
+    texts = ["Good plain words in a sentence here.", "### $$ %% junk || <<>>", "", "Same words same words same words.", "x"]
+    text, bucket, weight, c = classifier.features(pa.array(texts))
+    dense = np.zeros((len(texts), classifier.DIM))
+    for t, b, w in zip(text, bucket, weight):
+        np.add.at(dense, (t, b), w)
+    for i, t in enumerate(texts):
+        n = len(t.split())
+        assert dense[i].sum() == pytest.approx(classifier._WEIGHT[2] + (n > 0) * (classifier._WEIGHT[0] + classifier._WEIGHT[1]))
+    label = np.array([0.9, 0.1, 0.2, 0.8, 0.4])
+    row, col = np.nonzero(dense)
+    scorer = classifier.train(row, col, dense[row, col], label, steps=3)
+    share = label.mean()
+    balance = [0.5 / share if y >= 0.5 else 0.5 / (1 - share) for y in label]
+    w, b = np.zeros(classifier.DIM), 0.0
+    v, vb, t = w, b, 1.0
+    for _ in range(3):
+        gw, gb = 1e-5 * v, 0.0
+        for i in range(len(label)):
+            p = 1 / (1 + np.exp(-(classifier._SCALE * float(dense[i] @ v) + vb)))
+            gw = gw + classifier._SCALE * (p - label[i]) * balance[i] / len(label) * dense[i]
+            gb += (p - label[i]) * balance[i] / len(label)
+        w2, b2, t2 = v - 8.0 * gw, vb - 2.0 * gb, (1 + (1 + 4 * t * t) ** 0.5) / 2
+        v, vb, w, b, t = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b), w2, b2, t2
+    assert np.allclose(scorer.weights, w, atol=1e-5) and scorer.bias == pytest.approx(b)
+    want = [1 / (1 + np.exp(-(classifier._SCALE * float(d @ scorer.weights) + scorer.bias))) for d in dense]
+    assert np.allclose(scorer(pa.array(texts)), want, atol=1e-5)
+
+
+def test_kept_of_rules_is_the_posterior(docs):
+    """The verdict, from the posterior worked out one rule at a time."""
+    from arborlog.llm import weak
+
+    table = [r.asDict() for r in rules.vote_table(docs).collect()]
+    votes = weak.pattern_votes(np.array([r["votes"] for r in table]), rules.VOTERS)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = weak.VoteModel(patterns, counts)
+    want = Counter()
+    for r, own in zip(table, votes):
+        good, bad = model.prior, 1 - model.prior
+        for j, v in enumerate(own):
+            if v:
+                good *= model.right[j, 1] if v > 0 else 1 - model.right[j, 1]
+                bad *= 1 - model.right[j, 0] if v > 0 else model.right[j, 0]
+        want[r["doc_id"], not r["base_failed"] and good / (good + bad) >= 0.5] += 1
+    assert Counter((r["doc_id"], r["kept"]) for r in rules.judge(docs).collect()) == want
+
+
+def test_embeddings_of_split_leaves(spark):
+    """With default trees and leaves that really split, in two dimensions: recall against brute force, and how often a vector is held."""
+    for d, n in ((64, 6000), (384, 4000)):
+        rng = np.random.default_rng(d)
+        x = rng.standard_normal((n, d)).astype(np.float32)
+        near = x[:400] / np.linalg.norm(x[:400], axis=1, keepdims=True) + (0.19 / d**0.5) * rng.standard_normal((400, d))
+        y = np.concatenate([x, near.astype(np.float32)]).astype(float)
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        want = (y @ y.T >= 0.98).sum() - len(y)
+        table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, near]).astype(np.float32))], "vec_id long, embedding array<float>, label int")
+        got = embeddings.near_embeddings(table, leaf=256).agg({"n_links": "sum"}).first()[0]
+        assert want > 400 and 0.99 * want <= got <= want
+
+
+def test_encoder_falls_back_to_tokenizers(tmp_path):
+    import json
+
+    with open(packing.default_path(), encoding="utf-8") as f:
+        file = json.load(f)
+    assert packing.is_plain(file) and isinstance(packing.encoder(packing.default_path()), packing.Encoder)
+    file["pre_tokenizer"]["add_prefix_space"] = True
+    odd = tmp_path / "odd.json"
+    odd.write_text(json.dumps(file), encoding="utf-8")
+    from tokenizers import Tokenizer
+
+    assert not packing.is_plain(file)
+    assert np.frombuffer(packing.encoder(str(odd))("word and <|endoftext|>"), dtype="<u4").tolist() == Tokenizer.from_file(str(odd)).encode("word and <|endoftext|>", add_special_tokens=False).ids
+
+
+def test_parts_follow_the_number_of_fingerprints():
+    assert [simhash.parts_for(n) for n in (0, 1 << 20, 1 << 26, 1 << 33)] == [6, 6, 7, 8]
+
+
 def test_grams_of_long_text_are_whole():
     rng = random.Random(2)
     t = "".join(rng.choice("abcé 1") for _ in range((1 << 20) + 500))
