@@ -112,3 +112,44 @@ def compact_label(text: Column, most: int = 64) -> Column:
     """Blanks run together; over ``most`` characters: cut, with three dots."""
     one = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.when(F.length(one) > most, F.concat(F.left(one, F.lit(most - 3)), F.lit("..."))).otherwise(one)
+
+
+def html_escape(text: Column) -> Column:
+    """Text that may stand between tags or in a quoted attribute."""
+    for plain, said in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(plain), F.lit(said))
+    return text
+
+
+def percent_encode(text: Column) -> Column:
+    """UTF-8 bytes as %XX, but for letters, digits and -_.~ of ASCII."""
+    return F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def excerpt(text: Column, most: int) -> Column:
+    """struct(text, omitted): as many whole characters from the start as fit in ``most`` bytes of UTF-8, and the bytes left out."""
+    whole = F.octet_length(text) <= most
+    # bytes of the form 10xxxxxx go on a character, so the cut moves back to the byte that begins one
+    data = text.cast("binary")
+    lead = lambda k: F.conv(F.hex(F.substring(data, most + 1 - k, 1)), 16, 10).cast("int").bitwiseAND(F.lit(0xC0)) != 0x80
+    cut = F.when(whole, F.octet_length(text)).when(lead(0), most).when(lead(1), most - 1).when(lead(2), most - 2).otherwise(most - 3)
+    kept = F.substring(data, F.lit(1), cut).cast("string")
+    return F.struct(kept.alias("text"), (F.octet_length(text) - cut).cast("long").alias("omitted"))
+
+
+def parse_timestamp(text: Column) -> Column:
+    """A stored time: with or without T, fractions and zone; null if it is none. Without a zone it is UTC."""
+    plain = F.regexp_replace(F.trim(text), "^([0-9-]{10})T", "$1 ")
+    return F.try_to_timestamp(F.when(plain.rlike("(Z|[+-][0-9]{2}:?[0-9]{2})$"), plain).otherwise(F.concat(plain, F.lit("Z"))))
+
+
+def dedent(text: Column) -> Column:
+    """The text without the blanks that all its lines with other characters begin with; lines of blanks alone become empty."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.when(F.trim(F.translate(x, "\t", " ")) == "", F.lit("")).otherwise(x))
+    lead = F.array_min(F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.length(F.regexp_extract(x, "^[ \t]*", 0))))
+    return F.array_join(F.transform(lines, lambda x: F.when(x == "", x).otherwise(F.substring(x, F.coalesce(lead, F.lit(0)) + 1, F.length(x)))), "\n")
+
+
+def without_banner(text: Column, banner: str) -> Column:
+    """A rendered file without the banner line that its renderer puts first, after a line that names an interpreter if there is one."""
+    return F.regexp_replace(text, r"\A((?:#![^\n]*\n)?)\Q" + banner + r"\E[^\n]*\n", "$1")

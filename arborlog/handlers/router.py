@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,8 +58,11 @@ def import_files(files: DataFrame, strict: bool = False) -> tuple[DataFrame, Dat
             rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
                 handler, symbols, calls, error = _read(path, content or "", strict)
+                by_source = defaultdict(list)
+                for c in calls:
+                    by_source[c.source].append([c.name, c.how])
                 for i, s in enumerate(symbols):
-                    used = json.dumps([[c.name, c.how] for c in calls if c.source == s.id]) if calls else None
+                    used = json.dumps(by_source[s.id]) if s.id in by_source else None
                     rows.append((path, handler.name, i, s.id, s.parent, s.kind, s.name, s.body, json.dumps(s.metadata, sort_keys=True, ensure_ascii=False), error if i == 0 else None, used))
             yield pd.DataFrame(rows, columns=["path", "handler", "seq", "symbol_id", "parent_id", "kind", "name", "body", "metadata", "error", "uses"])
 
@@ -84,14 +89,30 @@ def _resolved(read: DataFrame) -> DataFrame:
 
 
 def render_files(symbols: DataFrame) -> DataFrame:
-    """symbols (SYMBOLS: path, handler, seq, ...) -> (path, content). A file's symbols meet in one task; a file is bounded."""
+    """symbols (SYMBOLS: path, handler, seq, ...) -> (path, content).
+
+    A file's symbols are gathered by an aggregate in the JVM, as a file is bounded; blobs are put out there as well, and the other
+    handlers render many files a batch.
+    """
+    part = F.struct("seq", "symbol_id", "parent_id", "kind", "name", "body", "metadata")
+    blobs = symbols.where("handler = 'blob' and seq = 0").select("path", F.coalesce("body", F.lit("")).alias("content"))
+    files = symbols.where("handler <> 'blob'").groupBy("path", "handler").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for handler, parts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                own = [Symbol(p["symbol_id"], p["parent_id"], p["kind"], p["name"], p["body"], json.loads(p["metadata"] or "{}")) for p in parts]
+                out.append(_BY_NAME[handler].render(own))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["path", "content"])
+
+    return blobs.unionAll(files.mapInArrow(run, "path string, content string"))
 
-    def run(pdf):
-        pdf = pdf.sort_values("seq")
-        parts = [Symbol(r.symbol_id, r.parent_id, r.kind, r.name, r.body, json.loads(r.metadata or "{}")) for r in pdf.itertuples()]
-        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [_BY_NAME[pdf["handler"].iloc[0]].render(parts)]})
 
-    return symbols.select("path", "handler", "seq", "symbol_id", "parent_id", "kind", "name", "body", "metadata").groupBy("path").applyInPandas(run, "path string, content string")
+def slice_files(symbols: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rendered files (path, content) that hold any of roots(symbol_id); unknown ids are left out, and each file comes once."""
+    paths = symbols.join(roots.select("symbol_id").distinct(), "symbol_id", "left_semi").select("path").distinct()
+    return render_files(symbols.join(paths, "path", "left_semi"))
 
 
 def validate_files(files: DataFrame) -> DataFrame:

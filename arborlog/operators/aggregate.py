@@ -124,3 +124,29 @@ def last_occurrence(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """Of rows with one key the last one."""
     w = Window.partitionBy(*key).orderBy(F.desc(order))
     return rows.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+
+
+def import_stats(states: DataFrame, plan: DataFrame) -> DataFrame:
+    """One row: files of an ingest plan (path, state) by state, and operations of its plan of change (op_type) by kind."""
+    n = lambda c, v: F.count_if(F.col(c) == v)
+    files = states.agg(F.count("*").alias("files"), *[n("state", x).alias(x) for x in ("unchanged", "changed", "added", "deleted")])
+    ops = plan.agg(F.count("*").alias("operations"), n("op_type", "CreateSymbol").alias("symbols_created"), n("op_type", "UpdateSymbol").alias("symbols_updated"), n("op_type", "DeleteSymbol").alias("symbols_deleted"), F.count_if(F.col("op_type").isin("CreateReference", "DeleteReference")).alias("reference_changes"))
+    return files.crossJoin(ops)  # single rows
+
+
+def receiver_counts(methods: DataFrame) -> DataFrame:
+    """methods(scope, receiver, name) -> how often each name is declared for a receiver; only those that are unique have a place of their own."""
+    return methods.groupBy("scope", "receiver", "name").agg(F.count("*").alias("n")).withColumn("unique", F.col("n") == 1)
+
+
+def related_by_name(neighbours: DataFrame) -> DataFrame:
+    """Neighbours (asked, symbol_id, name) as a reader's list: by name, then id."""
+    w = Window.partitionBy("asked").orderBy("name", "symbol_id")
+    return neighbours.select("asked", "symbol_id", "name", F.row_number().over(w).alias("rank"))
+
+
+def primary_history(ops: DataFrame) -> DataFrame:
+    """(symbol, op_id, branch_id, rank): operations whose own symbol it is, the source of a reference for references, by branch and position."""
+    rows = ops.withColumn("symbol", F.coalesce("symbol_id", "from_symbol_id")).where("symbol is not null")
+    w = Window.partitionBy("symbol").orderBy("branch_id", "position")
+    return rows.select("symbol", "op_id", "branch_id", F.row_number().over(w).alias("rank"))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborlog.functions import uuid5
+from arborlog.operators.lineage import settled
+from arborlog.operators.ranks import dense_positions
 from arborlog.operators.replay import Replay
 
+#: Rows in a bucket of positions.
+BUCKET = 1 << 14
+
 REASONS = ("DUPLICATE_SYMBOL_ID", "DUPLICATE_REFERENCE_ID", "DUPLICATE_SYMBOL_NAME", "OVERLAPPING_SYMBOL_WRITE", "OVERLAPPING_REFERENCE_WRITE", "REFERENCE_TO_DELETED_SYMBOL")
 #: Columns that name a pair of logs: which logs are held against each other.
 _WRITES = "op_type in ('CreateSymbol', 'DeleteSymbol', 'UpdateSymbol', 'MoveSymbol')"
@@ -69,11 +76,56 @@ def outcomes(logs: DataFrame, found: DataFrame) -> DataFrame:
     return logs.join(counts, "source_log", "left").select("source_log", F.when(F.col("n") > 0, "CONFLICT").otherwise("SAFE_MERGE").alias("outcome"), F.coalesce("n", F.lit(0)).alias("conflicts"))
 
 
+def numbered(ops: DataFrame, after: int, order: str = "ordinal") -> DataFrame:
+    """ops with ordinals that follow ``after`` without gaps, in their order, without one task for all of them."""
+    turns = ops.withColumn("__turn", F.col(order)).drop("ordinal")
+    return dense_positions(turns, "ordinal", F.floor(F.col("__turn") / BUCKET), ["__turn", "op_id"]).withColumn("ordinal", F.col("ordinal") + F.lit(after)).drop("__turn")
+
+
+def appended(source: DataFrame, target_id: str, tail: int, changeset_id: str) -> DataFrame:
+    """Copies of a branch's own operations (position) as the next ones of the target: new ids, given by changeset and place, and new positions."""
+    rows = numbered(source, tail, "position").withColumn("position", F.col("ordinal")).drop("ordinal")
+    return rows.withColumn("op_id", uuid5(F.concat(F.lit(f"merge:{changeset_id}:"), "position"))).withColumn("branch_id", F.lit(target_id)).withColumn("changeset_id", F.lit(changeset_id))
+
+
 @dataclass
 class MergeResult:
+    """outcome: SAFE_MERGE or CONFLICT. appended: positions that the target got, empty after a conflict."""
+
     outcome: str
     conflicts: DataFrame
-    appended: DataFrame | None
+    appended: list[int]
+
+
+def merge_branch(store, branch_id: str, created_by: str = "merge-engine") -> MergeResult:
+    """Merge a branch of a store into its direct base.
+
+    What the branch made since it forked is held against what its base got since then, first by pairs of operations, then by
+    replay. Without a conflict, copies of its operations are appended to the base under a task and changeset of their own, if the base is
+    still where it was; else ``Conflict`` is raised and the caller may try again.
+    """
+    from arborlog.operators import visible
+
+    branch = store.one("branches", id=branch_id)
+    if branch["base_branch_id"] is None:
+        raise ValueError(f"branch {branch['name']} has no base; only supports direct merges")
+    target = store.one("branches", id=branch["base_branch_id"])
+    tail = store.tail(target["id"])
+    ops, branches = store.operations(), store.table("branches")
+    seen = settled(visible.visible_ops(ops, branches.where(F.col("repository_id") == branch["repository_id"])).where(F.col("log_id") == target["id"]))
+    own = settled(ops.where(F.col("branch_id") == branch_id).withColumn("log_id", F.lit(branch_id)).withColumn("ordinal", F.col("position")))
+    found = settled(analyze(seen, seen.where(F.col("ordinal") > branch["base_position"]), own))
+    if not found.isEmpty():
+        return MergeResult("CONFLICT", found, [])
+    task = store.task(branch["repository_id"], f"merge {branch['name']} into {target['name']}")
+    changeset = store.changeset(branch["repository_id"], task, target["id"], f"merge {branch['name']}", created_by)
+    return MergeResult("SAFE_MERGE", found, store.append_table(target["id"], changeset, own, tail))
+
+
+def synthetic(payloads: DataFrame, slice_id: str) -> DataFrame:
+    """Operations that aren't appended yet, as records: ids from the slice and their place, so that reports can be made again."""
+    space = str(uuid.uuid5(uuid.NAMESPACE_URL, slice_id))
+    return payloads.withColumn("op_id", uuid5(F.concat(F.lit(f"{space}:"), F.col("ordinal").cast("string"))))
 
 
 def analyze(visible: DataFrame, since_base: DataFrame, source: DataFrame) -> DataFrame:
@@ -87,7 +139,7 @@ def analyze(visible: DataFrame, since_base: DataFrame, source: DataFrame) -> Dat
         return found
     head = visible.agg(F.coalesce(F.max("ordinal"), F.lit(0)).alias("h")).first()["h"]
     log = visible.drop("log_id").withColumn("log_id", F.lit("merge"))
-    moved = source.withColumn("log_id", F.lit("merge")).withColumn("ordinal", F.row_number().over(Window.orderBy("ordinal")) + F.lit(head))
+    moved = numbered(source, head).withColumn("log_id", F.lit("merge"))
     columns = ["log_id", "ordinal", "op_id", "op_type", "symbol_id", "parent_id", "kind", "name", "body", "metadata", "reference_id", "from_symbol_id", "to_symbol_id"]
     failed = Replay(log.select(*columns).unionAll(moved.select(*columns))).failures.where(F.col("ordinal") > head)
     made = source.where("op_type = 'CreateSymbol'").select(F.col("op_id").alias("c_op"), F.col("symbol_id").alias("c_id"))

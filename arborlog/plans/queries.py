@@ -12,6 +12,7 @@ from arborlog import simulate as simulation
 from arborlog.handlers import handler_of, import_files, render_files, validate_files
 from arborlog.operators import aggregate, diff, graph, hierarchy, merge, moves, replay, visible
 from arborlog.operators.lineage import settled
+from arborlog.operators.ranks import dense_positions
 from arborlog.plans.oracles import AGENT, BRANCHES, CONFLICTS, DESIRED, MAIN, REPLAY, sql
 from arborlog.sources import derive
 from arborlog.sources.snapshot import StateCache, files_fingerprint
@@ -346,8 +347,6 @@ def merge_outcome_per_branch(spark, sf):
       lambda a, b: (xor(a, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)) as fnv from (select 'agent-' || user_id as name from users))"""))
 def merge_order_fnv(spark, sf):
     """Agents in the order of merging: by FNV-1a of their name. Few rows: one for each user."""
-    from arborlog.operators.ranks import dense_positions
-
     names = derive.table(spark, sf, "events").select(F.concat(F.lit("agent-"), "user_id").alias("name")).distinct().withColumn("fnv", fn.fnv1a64(F.col("name")))
     return dense_positions(names, "rank", F.substring("fnv", 1, 2), ["fnv", "name"]).select("name", "fnv", "rank")
 
@@ -471,9 +470,79 @@ def move_detection(spark, sf):
     return moves.detect_moves(ops, base)
 
 
+@query(sql(MAIN, recursive=UP + """,
+  gone as (select u.symbol_id, u.depth from up u where ancestor_id in ('region:0', 'region:1')),
+  cut as (select reference_id, ordinal from ref where from_symbol_id in (select symbol_id from gone) or to_symbol_id in (select symbol_id from gone))""", select="""
+  select 1 as phase, 'DeleteReference' as op_type, null as symbol_id, reference_id, row_number() over (order by ordinal, reference_id) as rank from cut
+  union all select 2, 'DeleteSymbol', symbol_id, null, row_number() over (order by g.depth desc, s.ordinal, symbol_id) from gone g join sym s using (symbol_id)"""))
+def file_delete_plan(spark, sf):
+    """The plan that takes two regions out: references first, then symbols, each after its children."""
+    symbols, references = main_state(spark, sf)
+    plan = diff.delete_files(symbols, references, symbols.where("symbol_id in ('region:0', 'region:1')"))
+    return dense_positions(plan, "rank", F.substring("seq", 1, 18), ["seq"], ["phase"]).select("phase", "op_type", "symbol_id", "reference_id", "rank")
+
+
 # --- aggregates, labels, history
 
 
+@query("""
+  with files as (select url as path, html as content from pages where page_id % 5 <> 4),
+  snap as (select url as path, sha256(case when page_id % 7 = 0 then html || ' old' else html end) as content_hash, case when page_id % 11 = 0 then 'source-snapshot-v0' else 'source-snapshot-v1' end as v from pages where page_id % 3 <> 2),
+  plan as (select case when f.path is null then 'deleted' when s.path is null then 'added' when sha256(content) = content_hash and v = 'source-snapshot-v1' then 'unchanged' else 'changed' end as state from files f full outer join snap s on f.path = s.path),
+  a as (select url as path, html as content from pages where page_id % 4 <> 3), b as (select url as path, case when page_id % 6 = 0 then trim(html) || ' ' else html end as content from pages where page_id % 5 <> 1),
+  ops as (select case when a.path is null then 'CreateSymbol' when b.path is null then 'DeleteSymbol' when a.content <> b.content then 'UpdateSymbol' end as op from a full outer join b on a.path = b.path)
+  select (select count(*) from plan) as files, (select count(*) from plan where state = 'unchanged') as unchanged, (select count(*) from plan where state = 'changed') as changed, (select count(*) from plan where state = 'added') as added, (select count(*) from plan where state = 'deleted') as deleted,
+    (select count(op) from ops) as operations, (select count(*) from ops where op = 'CreateSymbol') as symbols_created, (select count(*) from ops where op = 'UpdateSymbol') as symbols_updated, (select count(*) from ops where op = 'DeleteSymbol') as symbols_deleted, 0::bigint as reference_changes""")
+def import_stats(spark, sf):
+    """Files of the ingest plan by state, and the operations between the two versions of the pages."""
+    return aggregate.import_stats(ingest_plan(spark, sf), blob_diff(spark, sf))
+
+
+@query(sql(MAIN, AGENT, select="select op_id, branch_id, row_number() over (order by created_at, branch_id, position) as rank from own"))
+def repository_log(spark, sf):
+    """All branches' own operations in the order of the repository's listing."""
+    return visible.repository_ops(own_ops(spark, sf)).select("op_id", "branch_id", "rank")
+
+
+@query(sql(MAIN, AGENT, select="select op_id, position, op_type from own where branch_id = (select 'agent-' || min(user_id) from users) and position <= 20"))
+def own_log_head(spark, sf):
+    """The first 20 own operations of one branch."""
+    first = derive.table(spark, sf, "events").agg(F.min("user_id")).first()[0]
+    return visible.own_ops(own_ops(spark, sf), f"agent-{first}", 20).select("op_id", "position", "op_type")
+
+
+@query(sql(MAIN, recursive=UP, select="select u.symbol_id, u.ancestor_id, a.name, a.kind, (max(u.depth) over (partition by u.symbol_id) - u.depth)::bigint as place from up u join sym a on a.symbol_id = u.ancestor_id join sym s on s.symbol_id = u.symbol_id where s.kind = 'class'"))
+def breadcrumbs(spark, sf):
+    """The way from the root to each customer."""
+    symbols, _ = main_state(spark, sf)
+    return hierarchy.breadcrumb(symbols, symbols.where("kind = 'class'"))
+
+
+@query(sql(MAIN, select="select asked, s.symbol_id, s.name, row_number() over (partition by asked order by s.name, s.symbol_id) as rank from (select distinct to_symbol_id as asked, from_symbol_id as o from ref where kind = 'calls') join sym s on s.symbol_id = o"))
+def callers_by_name(spark, sf):
+    """Callers of each part as a reader's list."""
+    symbols, references = main_state(spark, sf)
+    return aggregate.related_by_name(graph.find_callers(symbols, references, _ids(symbols, "function")))
+
+
+@query(sql(MAIN, AGENT, select="select symbol, op_id, branch_id, row_number() over (partition by symbol order by branch_id, position) as rank from (select coalesce(symbol_id, from_symbol_id) as symbol, * from own) where symbol is not null"))
+def primary_history(spark, sf):
+    return aggregate.primary_history(own_ops(spark, sf))
+
+
+@query('select c_nationkey as scope, o_custkey as receiver, o_orderpriority as name, count(*) as n, count(*) = 1 as "unique" from orders join customer on c_custkey = o_custkey group by 1, 2, 3')
+def receiver_counts(spark, sf):
+    """How often a customer's orders share a priority, as methods of one receiver share a name."""
+    rows = derive.table(spark, sf, "orders").join(derive.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return aggregate.receiver_counts(rows.select(F.col("c_nationkey").alias("scope"), F.col("o_custkey").alias("receiver"), F.col("o_orderpriority").alias("name")))
+
+
+@query("select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;') as escaped, url_encode(url) as encoded from pages")
+def escaped_pages(spark, sf):
+    return derive.table(spark, sf, "pages").select("page_id", fn.html_escape(F.col("html")).alias("escaped"), fn.percent_encode(F.col("url")).alias("encoded"))
+
+
+
 @query(sql(MAIN, AGENT, BRANCHES, select="""
   , made as (select o.branch_id, count(*) as created, bool_and(s.symbol_id is not null) as all_in, coalesce(string_agg(case when o.kind = 'method' then o.name end, ',' order by o.position), '') as methods
     from own o left join sym s on s.symbol_id = o.symbol_id where op_type = 'CreateSymbol' group by 1),

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlog.functions import fnv1a64
 from arborlog.operators.lineage import settled
-from arborlog.operators.merge import conflicts
+from arborlog.operators.merge import BUCKET, conflicts
+from arborlog.operators.ranks import dense_positions
 from arborlog.operators.replay import Replay
 
-BASE = [("file:orders", None, "file", "orders"), ("class:orders", "file:orders", "class", "OrderService"), ("method:run", "class:orders", "method", "run")]
+BASE = [("file:orders", None, "file", "orders"), ("class:orders", "file:orders", "class", "Orders"), ("method:run", "class:orders", "method", "run")]
 #: With clashes on, every so many agents an agent takes another's name.
 CLASH = 11
 
@@ -40,7 +41,8 @@ def simulate(spark: SparkSession, agents: int = 128, clashes: bool = False) -> d
     round settles at least the first open agent, and nearly all agents have no rival at all.
     """
     own = settled(agent_log(spark, agents, clashes))
-    order = settled(own.select("log_id").distinct().withColumn("turn", F.row_number().over(Window.orderBy(fnv1a64(F.col("log_id")), "log_id"))))
+    order = settled(own.select("log_id").distinct().withColumn("fnv", fnv1a64(F.col("log_id"))))
+    order = settled(dense_positions(order, "turn", F.substring("fnv", 1, 2), ["fnv", "log_id"]).select("log_id", "turn"))
     turn = lambda name: order.select(F.col("log_id").alias(name), F.col("turn").alias(f"{name}_turn"))
     rivals = settled(conflicts(own, own).select("source_log", "target_log").distinct().join(turn("source_log"), "source_log").join(turn("target_log"), "target_log").where("target_log_turn < source_log_turn").select(F.col("source_log").alias("later"), F.col("target_log").alias("earlier")))
     open_, accepted = order.select("log_id"), None
@@ -53,7 +55,8 @@ def simulate(spark: SparkSession, agents: int = 128, clashes: bool = False) -> d
         beaten = rivals.join(taken.withColumnRenamed("log_id", "earlier"), "earlier", "left_semi").select(F.col("later").alias("log_id")).distinct()
         open_ = settled(open_.join(taken, "log_id", "left_anti").join(beaten, "log_id", "left_anti"))
     safe = accepted.count()
-    merged = own.join(accepted, "log_id", "left_semi").join(order, "log_id").withColumn("ordinal", F.lit(len(BASE)) + F.row_number().over(Window.orderBy("turn", "ordinal"))).drop("turn").withColumn("log_id", F.lit("main"))
+    merged = own.join(accepted, "log_id", "left_semi").join(order, "log_id")
+    merged = dense_positions(merged.withColumnRenamed("ordinal", "own"), "ordinal", F.floor(F.col("turn") / BUCKET), ["turn", "own"]).withColumn("ordinal", F.col("ordinal") + len(BASE)).drop("turn", "own").withColumn("log_id", F.lit("main"))
     final = settled(base_log(spark).unionByName(merged))
     replay = Replay(final)
     return {

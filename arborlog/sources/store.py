@@ -34,10 +34,10 @@ class Store:
 
     def table(self, name: str) -> DataFrame:
         """All rows of a table; empty if nothing was written. Tables are partitioned by write, operations and snapshots also by branch."""
-        path = f"{self.root}/{name}"
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs):
+        path = next((p for p in (name, f"{name}.old") if self._fs(p).exists(self._path(p))), None)
+        if path is None:
             return self.spark.createDataFrame([], TABLES[name])
+        path = f"{self.root}/{path}"
         return self.spark.read.schema(TABLES[name]).option("recursiveFileLookup", False).parquet(path).select(*TABLES[name].fieldNames())
 
     def _append(self, name: str, rows: DataFrame | list[tuple]) -> None:
@@ -135,6 +135,24 @@ class Store:
             self._append("operations", rows)
             return [r[4] for r in rows]
 
+    def append_table(self, branch_id: str, changeset_id: str, ops: DataFrame, expected: int | None = None) -> list[int]:
+        """Append a table of operations (position, op_type, wide columns) in order of position, as one write, whatever its size."""
+        from arborlog.operators.merge import appended
+
+        with _lock:
+            branch, tail = self.one("branches", id=branch_id), self.tail(branch_id)
+            if expected is not None and expected != tail:
+                raise Conflict(f"branch {branch_id} advanced from position {expected} to {tail}; retry merge")
+            move = F.col("op_type") == "MoveSymbol"
+            payload = F.to_json(F.struct(
+                F.col("op_type").alias("type"), F.col("symbol_id").alias("symbolId"), F.when(~move, F.col("parent_id")).alias("parentId"), "kind", "name", "body", "metadata",
+                F.when(move, F.col("parent_id")).alias("newParentId"), F.col("reference_id").alias("referenceId"), F.col("from_symbol_id").alias("fromSymbolId"), F.col("to_symbol_id").alias("toSymbolId"),
+            ))
+            rows = appended(ops, branch_id, tail, changeset_id).withColumn("payload", payload)
+            rows = rows.select(F.col("op_id").alias("id"), F.lit(branch["repository_id"]).alias("repository_id"), "branch_id", "changeset_id", "position", "op_type", "payload", F.lit(self._now()).alias("created_at"))
+            self._append("operations", rows)
+            return list(range(tail + 1, self.tail(branch_id) + 1))
+
     def replace_snapshots(self, branch_id: str, rows: DataFrame) -> None:
         """A branch's snapshots become these rows; other branches' stay."""
         df = rows.withColumn("branch_id", F.lit(branch_id)).select(*TABLES["source_file_snapshots"].fieldNames())
@@ -145,7 +163,10 @@ class Store:
                 df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("branch_id").parquet(f"{self.root}/source_file_snapshots")
 
     def delete_repository(self, repository_id: str) -> None:
-        """The repository and all its rows go: each table is rewritten without them, beside the old one, then put in its place."""
+        """The repository and all its rows go: each table is rewritten without them, beside the old one, then put in its place.
+
+        The old table is moved aside first and dropped last; ``table`` reads the one that is whole if a crash comes between.
+        """
         with _lock:
             for name in TABLES:
                 own = "id" if name == "repositories" else "repository_id"
@@ -155,8 +176,10 @@ class Store:
                     continue
                 parts = ["branch_id"] if name in ("operations", "source_file_snapshots") else []
                 rest.write.mode("overwrite").partitionBy(*parts).parquet(f"{self.root}/{new}")
-                self._drop(name)
+                self._drop(f"{name}.old")
+                self._fs(name).rename(self._path(name), self._path(f"{name}.old"))
                 self._fs(new).rename(self._path(new), self._path(name))
+                self._drop(f"{name}.old")
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

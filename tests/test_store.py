@@ -33,6 +33,15 @@ def test_store(spark, tmp_path):
     with pytest.raises(ValueError):
         s.slice("other", main, ["a"])
     assert s.one("slices", id=s.slice(repo["id"], main, ["a"]))["base_position"] == 4
+    from arborlog.operators.merge import merge_branch
+
+    with pytest.raises(ValueError, match="direct merges"):
+        merge_branch(s, main)
+    done = merge_branch(s, fork["id"])
+    assert (done.outcome, done.appended) == ("SAFE_MERGE", [5])
+    assert {r["symbol_id"] for r in s.operations().where(F.col("branch_id") == main).collect()} == {"a", "b", "c", "d", "e"}
+    again = merge_branch(s, fork["id"])  # what it brings is there now
+    assert again.outcome == "CONFLICT" and again.appended == [] and {r["reason"] for r in again.conflicts.collect()} == {"DUPLICATE_SYMBOL_ID", "DUPLICATE_SYMBOL_NAME"}
     snap = lambda p: spark.createDataFrame([(p, repo["id"], "h", 1, "blob", None, 1, "v")], "path string, repository_id string, content_hash string, byte_len long, handler string, file_symbol_id string, last_import_position long, importer_version string").withColumn("updated_at", F.current_timestamp())
     s.replace_snapshots(main, snap("a"))
     s.replace_snapshots(fork["id"], snap("z"))
