@@ -442,17 +442,41 @@ def body_similarity_pairs(spark, sf):
     return a.join(b, ["container", "o"]).where("a <> b").select("container", "base_id", "edited_id", F.round(fn.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
-@query()
-def rename_detection(spark, sf):
-    """Parts of each brand, some renamed with nearly the same body, matched by id, name and similarity."""
-    parts = derive.table(spark, sf, "part")
+#: Each renamed part keeps its body, so two or more of a container are alike and are refused; a single one is taken if no other body is near.
+RENAMES = """
+  with p as (select {container} as container, p_name || '#' || p_partkey as name, p_partkey as k, list_distinct(regexp_split_to_array(lower(p_type || ' size ' || p_size || ' price ' || floor(p_retailprice)::int), '[^\\p{L}\\p{N}_]+')) as t from part),
+  was as (select *, k % 9 = 0 or k % 10 = 7 as lost from p),
+  made as (select *, case when k % 9 = 0 then 'new ' || name else name end as new_name from p where k % 10 <> 7),
+  fresh as (select container, count(*) as n, min(k) as k from made where k % 9 = 0 group by 1),
+  near as (select f.container, coalesce(max(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::double), 0) as s from fresh f join was a on a.container = f.container and a.k = f.k left join was b on b.container = f.container and b.lost and b.k <> f.k where f.n = 1 group by 1),
+  state as (select c.container, case when f.n is null then 'none' when f.n = 1 and 1::double - s >= 0.2::double then 'one' else 'refused' end as st from (select distinct container from p) c left join fresh f using (container) left join near using (container))
+  select w.container, w.name as base_name, null as edited_name, 'ambiguous' as outcome from was w join state using (container) where st = 'refused'
+  union all select m.container, null, new_name, 'ambiguous' from made m join state using (container) where st = 'refused'
+  union all select m.container, m.name, new_name, case when k % 9 = 0 then 'renamed' else 'kept' end from made m join state using (container) where st <> 'refused'
+  union all select w.container, w.name, null, 'deleted' from was w join state using (container) where st <> 'refused' and k % 10 = 7"""
+
+
+def renamed_parts(spark, sf, container) -> tuple[DataFrame, DataFrame]:
+    """Parts as symbols of a container, and the same with some gone and some under other names."""
     body = F.concat_ws(" ", "p_type", F.lit("size"), "p_size", F.lit("price"), F.col("p_retailprice").cast("int"))
-    base = parts.select(F.col("p_brand").alias("container"), F.lit(None).cast("string").alias("symbol_id"), F.lit("function").alias("kind"), F.concat("p_name", F.lit("#"), "p_partkey").alias("name"), body.alias("body"), F.col("p_partkey").alias("seq"))
+    base = derive.table(spark, sf, "part").select(container.alias("container"), F.lit(None).cast("string").alias("symbol_id"), F.lit("function").alias("kind"), F.concat("p_name", F.lit("#"), "p_partkey").alias("name"), body.alias("body"), F.col("p_partkey").alias("seq"))
     new = F.when(F.col("seq") % 9 == 0, F.concat(F.lit("new "), "name")).otherwise(F.col("name"))
-    return moves.detect_renames(base, base.where("seq % 10 <> 7").withColumn("name", new))
+    return base, base.where("seq % 10 <> 7").withColumn("name", new)
 
 
-@query()
+@query(RENAMES.replace("{container}", "p_brand"))
+def rename_detection(spark, sf):
+    """Parts of each brand, some renamed with nearly the same body, matched by id, name and similarity."""
+    return moves.detect_renames(*renamed_parts(spark, sf, F.col("p_brand")))
+
+
+@query("""
+  with c as (select c_nationkey as n, c_custkey as k, 'customer:' || c_custkey as id from customer where c_custkey % 3 = 0),
+  edit as (select n, id as root, id from c where k % 20 = 0 union all select n, c.id, 'order:' || o_orderkey from c join orders on o_custkey = k where o_orderkey % 20 = 0),
+  plan as (
+    select n, row_number() over (partition by n order by k) as seq, 'MoveSymbol' as op_type, id as symbol_id, 'nation:99' as parent_id, null as body from c
+    union all select n, (select count(*) from c where c.n = e.n) + row_number() over (partition by n order by root, id), 'UpdateSymbol', id, null, 'edited' from edit e)
+  select 'plan:' || n as plan_id, seq, op_type, symbol_id, parent_id, null::varchar as kind, null::varchar as name, body, null::varchar as metadata, null::varchar as reference_id, null::varchar as from_symbol_id, null::varchar as to_symbol_id from plan""")
 def move_detection(spark, sf):
     """Every third customer deleted with its orders and made anew under another nation: one plan for each nation, over all its customers and orders."""
     orders, customers = derive.table(spark, sf, "orders"), derive.table(spark, sf, "customer")
