@@ -67,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL, "op4_substrings": substrings.ORACLE_SQL, "op9_embeddings": embeddings.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL, "op4_substrings": substrings.ORACLE_SQL, "op6_sharding": sharding.ORACLE_SQL, "op9_embeddings": embeddings.ORACLE_SQL}

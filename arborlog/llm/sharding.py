@@ -7,6 +7,18 @@ from pyspark.sql import functions as F
 
 from arborlog.llm.common import if_small, pinned, slots
 
+#: Equal to ``shard`` with 8 shards in DuckDB, which has no CRC32: the usual table of 256 remainders is made from its polynomial.
+ORACLE_SQL = """
+  with recursive step(i, turn, c) as (
+    select i, 0, i::bigint from range(256) r(i)
+    union all select i, turn + 1, xor(c >> 1, 3988292384 * (c & 1)) from step where turn < 8),
+  crc as (select list(c order by i) as t from step where turn = 8),
+  d as (select doc_id, (strlen(coalesce(text, '')) + 1)::bigint as size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint) as b from documents),
+  sums as (select doc_id, size, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295::bigint) as text_crc32 from d, crc),
+  run as (select *, sum(size) over (order by doc_id nulls first, text_crc32 rows unbounded preceding) as ended, sum(size) over () as total, row_number() over (order by doc_id nulls first, text_crc32) as place from sums),
+  cut as (select *, ((2 * ended - size) * 8 // (2 * total))::int as shard from run)
+  select doc_id, size, text_crc32, 'bytes' as law, shard, place - min(place) over (partition by shard) as slot, null::int as grown_shard from cut"""
+
 
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """Cut all documents, in order of doc_id, into ``shards`` runs of nearly equal bytes.
