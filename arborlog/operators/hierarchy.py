@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlog.operators.lineage import settled
-
+from arborlog.operators.lineage import settled, stored
 
 
 def _bounded(rounds: int, symbols: DataFrame) -> None:
@@ -128,13 +127,18 @@ def breadcrumb(symbols: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def subtree_sizes(symbols: DataFrame) -> DataFrame:
-    """(symbol_id, size): symbols in each subtree, its root included.
+    """(symbol_id, size): symbols in each subtree, its root included."""
+    return _subtree_sums(symbols.select("symbol_id", "parent_id", F.lit(1).cast("long").alias("n")))
+
+
+def _subtree_sums(weights: DataFrame) -> DataFrame:
+    """weights(symbol_id, parent_id, n) -> (symbol_id, size): the sum of n over each subtree.
 
-    After k rounds a symbol knows how many are fewer than 2**k steps below; those further down, up to twice as far, are what the symbols
+    After k rounds a symbol knows what is fewer than 2**k steps below; what is further down, up to twice as far, is what the symbols
     exactly 2**k below it know.
     """
-    rows = settled(symbols.select("symbol_id", "parent_id"))
-    jump, size, rounds = settled(_linked(rows)), rows.select(F.col("symbol_id").alias("id"), F.lit(1).cast("long").alias("n")), 0
+    rows = settled(weights)
+    jump, size, rounds = settled(_linked(rows)), rows.select(F.col("symbol_id").alias("id"), "n"), 0
     while not jump.isEmpty():
         rounds += 1
         _bounded(rounds, rows)
@@ -162,30 +166,66 @@ def subtree(symbols: DataFrame, roots: DataFrame) -> DataFrame:
     return near.select("root_id", "symbol_id", "depth").unionAll(more)
 
 
-def tree_order(symbols: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root_id, symbol_id, depth, path): path holds (ordinal, kind, name, id) of each step below the root, by which pre-order is ascending order."""
-    key = F.array(F.struct("ordinal", "kind", "name", F.col("symbol_id").alias("id"))).alias("path")
-    keys = settled(symbols.select("symbol_id", "parent_id", key))
-    steps = settled(subtree(symbols, roots))
-    links = keys.join(steps.select("symbol_id").distinct(), "symbol_id", "left_semi").select(F.col("symbol_id").alias("id"), F.col("parent_id").alias("up"), "path").where("up is not null")
-    ways = closure(links, {"path": F.concat}).select(F.col("id").alias("symbol_id"), F.col("up").alias("root_id"), "path")
-    none = F.array().cast(ways.schema["path"].dataType)
-    return steps.join(ways, ["root_id", "symbol_id"], "left").withColumn("path", F.coalesce("path", none))
+def _chain_sums(links: DataFrame) -> DataFrame:
+    """links(id, up, n), at most one for each id -> (id, total): the sum of n from each id up to the last one with a link."""
+    now, rounds = settled(links.select("id", "up", F.col("n").alias("total"), F.lit(True).alias("open"))), 0
+    while not (todo := now.where("open")).isEmpty():
+        rounds += 1
+        _bounded(rounds, now)
+        far = now.select(*[F.col(c).alias(f"t_{c}") for c in now.columns])
+        on = todo.join(far, F.col("up") == F.col("t_id"), "left").select("id", F.coalesce("t_up", "up").alias("up"), (F.col("total") + F.coalesce("t_total", F.lit(0))).alias("total"), F.coalesce("t_open", F.lit(False)).alias("open"))
+        now = settled(now.where("not open").unionAll(on))
+    return now.select("id", "total")
+
+
+def placed(symbols: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root_id, symbol_id, depth, rank, size): symbols in the subtrees of roots(symbol_id); below several roots: a row for each.
+
+    rank: place in pre-order, siblings by (ordinal, kind, name, id); size: of the symbol's own subtree. A rank is that of the parent, plus
+    one, plus the sizes of earlier siblings. Only roots and symbols with children, often few, are climbed and kept; the others are
+    placed beside their siblings, by one exchange. ``symbols`` is read a few times, so it should be a stored table.
+    """
+    rows = symbols.select("symbol_id", "parent_id", "ordinal", "kind", "name")
+    marks = rows.where("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("n")).select(F.col("parent_id").alias("i_id"), "n", F.lit(False).alias("root"))
+    marks = marks.unionAll(roots.select("symbol_id", F.lit(0).cast("long"), F.lit(True))).groupBy("i_id").agg(F.sum("n").alias("n"), F.max("root").alias("root"))
+    inner = stored(rows.select("symbol_id", "parent_id").join(marks, F.col("symbol_id") == F.col("i_id")).drop("i_id"))
+    pairs = stored(subtree(inner, inner.where("root").select("symbol_id")))
+    within = stored(inner.join(pairs.select("symbol_id").distinct(), "symbol_id", "left_semi"))
+    under = stored(pairs.where("depth > 0").select(F.col("symbol_id").alias("u_id")).distinct())
+    flat = under.isEmpty()
+    below = rows.where("parent_id is not null")
+    if flat:
+        sizes = within.select("symbol_id", (F.col("n") + 1).alias("size"))
+        below = below.withColumn("size", F.lit(1).cast("long"))
+    else:
+        counted = within.where("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("m")).withColumnRenamed("parent_id", "c_id")
+        own = within.join(counted, F.col("symbol_id") == F.col("c_id"), "left").select("symbol_id", "parent_id", (F.col("n") - F.coalesce("m", F.lit(0)) + 1).alias("n"))
+        sizes = stored(_subtree_sums(own))
+        below = below.join(sizes, "symbol_id", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    earlier = Window.partitionBy("parent_id").orderBy("ordinal", "kind", "name", "symbol_id").rowsBetween(Window.unboundedPreceding, -1)
+    below = below.join(within.select(F.col("symbol_id").alias("parent_id")), "parent_id", "left_semi").withColumn("after", F.coalesce(F.sum("size").over(earlier), F.lit(0)) + 1)
+    at = pairs.withColumn("rank", F.lit(1).cast("long"))
+    if not flat:
+        totals = stored(_chain_sums(below.join(under, F.col("symbol_id") == F.col("u_id"), "left_semi").select(F.col("symbol_id").alias("id"), F.col("parent_id").alias("up"), F.col("after").alias("n"))))
+        of = lambda name: totals.select(F.col("id").alias(f"{name}_t"), F.col("total").alias(name))
+        ranked = pairs.join(of("low"), F.col("symbol_id") == F.col("low_t"), "left").join(of("high"), F.col("root_id") == F.col("high_t"), "left")
+        at = stored(ranked.select("root_id", "symbol_id", "depth", (F.coalesce("low", F.lit(0)) - F.coalesce("high", F.lit(0)) + 1).alias("rank")))
+    heads = at.where("depth = 0").join(sizes, "symbol_id").select("root_id", "symbol_id", "depth", "rank", "size")
+    over = at.select("root_id", F.col("symbol_id").alias("parent_id"), F.col("depth").alias("p_depth"), F.col("rank").alias("p_rank"))
+    return heads.unionAll(below.join(over, "parent_id").select("root_id", "symbol_id", (F.col("p_depth") + 1).alias("depth"), (F.col("p_rank") + F.col("after")).alias("rank"), "size"))
 
 
 def pre_order(symbols: DataFrame, roots: DataFrame) -> DataFrame:
     """(root_id, symbol_id, depth, rank): parents before children, siblings by (ordinal, kind, name, id)."""
-    return tree_order(symbols, roots).withColumn("rank", F.row_number().over(Window.partitionBy("root_id").orderBy("path"))).drop("path")
+    return placed(symbols, roots).select("root_id", "symbol_id", "depth", F.col("rank").cast("int").alias("rank"))
 
 
 def delete_order(symbols: DataFrame, roots: DataFrame) -> DataFrame:
     """(root_id, symbol_id, rank): post-order, children in order before their parent.
 
-    A path sorts after those that it begins, if each path ends with a mark above all keys.
+    What comes before a symbol in pre-order but not in post-order are its ancestors, and the other way round its descendants.
     """
-    order = tree_order(symbols, roots)
-    last = F.array(F.struct(F.lit((1 << 63) - 1).alias("ordinal"), F.lit("").alias("kind"), F.lit("").alias("name"), F.lit("").alias("id")))
-    return order.withColumn("rank", F.row_number().over(Window.partitionBy("root_id").orderBy(F.concat("path", last)))).select("root_id", "symbol_id", "rank")
+    return placed(symbols, roots).select("root_id", "symbol_id", (F.col("rank") + F.col("size") - 1 - F.col("depth")).cast("int").alias("rank"))
 
 
 def subgraph(symbols: DataFrame, references: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlog.operators import hierarchy
-from arborlog.operators.lineage import settled
+from arborlog.operators.lineage import settled, stored
 
 #: hi of a version that nothing closes.
 END = (1 << 63) - 1
@@ -203,6 +203,59 @@ class Replay:
         return self._at(self.references_all, as_of, self.failures if checked else None).select("log_id", "reference_id", "from_symbol_id", "to_symbol_id", "kind", F.col("born").alias("ordinal"))
 
 
+class Creates(Replay):
+    """Replay of logs that only create symbols and references, as imports do: as nothing is changed or goes, what an id is first created and
+    first asked for says all, which takes one aggregation of the ids instead of joins of all questions with all facts.
+    """
+
+    @cached_property
+    def symbols_all(self) -> DataFrame:
+        """Each create as a version; after a failure, the state isn't that of a log that goes on."""
+        return self._made("CreateSymbol").select("log_id", "symbol_id", "parent_id", "kind", "name", "body", "metadata", F.col("ordinal").alias("born"), F.col("ordinal").alias("lo"), F.lit(END).alias("hi"))
+
+    @cached_property
+    def references_all(self) -> DataFrame:
+        return self._made("CreateReference").select("log_id", "reference_id", "from_symbol_id", "to_symbol_id", "kind", F.col("ordinal").alias("born"), F.col("ordinal").alias("lo"), F.lit(END).alias("hi"))
+
+    def settle(self) -> Replay:
+        """Versions are the operations themselves."""
+        return self
+
+    def _made(self, op_type: str) -> DataFrame:
+        return self.ops.where(F.col("op_type") == op_type)
+
+    def _again(self, rows: DataFrame, rule: int, keys: list[str]) -> DataFrame:
+        """(log_id, ordinal, rule): rows whose keys, or nulls in their places, an earlier one has. Hashes find what may be equal, keys decide."""
+        hashed = rows.select("log_id", "ordinal", *keys, F.xxhash64("log_id", *[x for k in keys for x in (k, F.col(k).isNull())]).alias("h"))
+        twice = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+        first = Window.partitionBy("log_id", *keys).orderBy("ordinal")
+        return stored(hashed.join(stored(twice), "h", "left_semi")).withColumn("nth", F.row_number().over(first)).where("nth > 1").select("log_id", "ordinal", F.lit(rule).alias("rule"))
+
+    @cached_property
+    def violations(self) -> DataFrame:
+        """(log_id, ordinal, op_id, rule, reason), of which only a log's first ordinal is meaningful."""
+        symbols, references, none = self._made("CreateSymbol"), self._made("CreateReference"), F.lit(None).cast("long")
+
+        def ids(rows: DataFrame, key: str, at: str) -> DataFrame:
+            """at: born, or the number of the rule that asks for the id."""
+            return rows.where(F.col(key).isNotNull()).select("log_id", F.col(key).alias("id"), *[(F.col("ordinal") if x == at else none).alias(x) for x in ("born", "a2", "a3")])
+
+        met = ids(symbols, "symbol_id", "born").unionAll(ids(symbols, "parent_id", "a2")).unionAll(ids(references, "from_symbol_id", "a2")).unionAll(ids(references, "to_symbol_id", "a3"))
+        first = met.groupBy("log_id", "id").agg(F.min("born").alias("born"), F.min("a2").alias("a2"), F.min("a3").alias("a3"))
+        early = lambda a: F.col(a).isNotNull() & (F.col("born").isNull() | (F.col(a) <= F.col("born")))
+        lacking = stored(first.where(early("a2") | early("a3")))
+        found = lacking.where(early("a2")).select("log_id", F.col("a2").alias("ordinal"), F.lit(2).alias("rule"))
+        found = found.unionAll(lacking.where(early("a3")).select("log_id", F.col("a3").alias("ordinal"), F.lit(3).alias("rule")))
+        # an id without a parent asks for none, and a null id is never found
+        lost = references.where("from_symbol_id is null").select("log_id", "ordinal", F.lit(2).alias("rule")).unionAll(references.where("to_symbol_id is null").select("log_id", "ordinal", F.lit(3).alias("rule")))
+        found = found.unionAll(lost).unionAll(self._again(symbols.where("symbol_id is not null"), 1, ["symbol_id"])).unionAll(self._again(references.where("reference_id is not null"), 1, ["reference_id"])).unionAll(self._again(symbols, 3, ["parent_id", "kind", "name"]))
+        # the earliest of each log alone, before its operation is looked up
+        stop = stored(found.groupBy("log_id").agg(F.min(F.struct("ordinal", "rule")).alias("f")).select(F.col("log_id").alias("f_log"), F.col("f.ordinal").alias("f_ordinal"), F.col("f.rule").alias("rule")))
+        says = {("CreateSymbol", 1): "duplicate symbol id", ("CreateSymbol", 2): "parent symbol does not exist", ("CreateSymbol", 3): "duplicate sibling name", ("CreateReference", 1): "duplicate reference id", ("CreateReference", 2): "reference source does not exist", ("CreateReference", 3): "reference target does not exist"}
+        reason = F.coalesce(*[F.when((F.col("op_type") == t) & (F.col("rule") == n), text) for (t, n), text in says.items()])
+        return self.ops.join(stop, (F.col("log_id") == F.col("f_log")) & (F.col("ordinal") == F.col("f_ordinal"))).select("log_id", "ordinal", "op_id", "rule", reason.alias("reason"))
+
+
 def validate(symbols: DataFrame, references: DataFrame) -> DataFrame:
     """(log_id, problem, id): dangling parents, duplicate sibling keys, dangling ends of references, of a state."""
     ids = symbols.select(F.col("log_id").alias("i_log"), F.col("symbol_id").alias("i_id"))

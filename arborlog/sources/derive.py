@@ -26,39 +26,60 @@ def _json(**fields: Column) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
-def _ops(df: DataFrame, stage: int, key: Column, op_type: str, key2: Column | None = None, **columns: Column) -> DataFrame:
-    return df.select(
-        F.lit(stage).alias("stage"),
-        key.cast("long").alias("k1"),
-        (key2 if key2 is not None else F.lit(0)).cast("long").alias("k2"),
-        F.lit(op_type).alias("op_type"),
-        *[columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in _NONE.items()],
-    )
-
+def main_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stage, k1, k2, up, a, b, position): the rows of ``main_log`` by what they are made from, so that sorting and keeping them moves no ids.
 
-def main_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operations of branch main: a forest of regions, nations, customers and orders, one of brands and parts, and the calls between them."""
+    up: key of the parent; a, b: what goes into names, bodies and metadata.
+    """
     t = lambda name: table(spark, sf_dir, name)
-    empty, create = F.lit("{}"), "CreateSymbol"
-    path = F.concat(F.lit("region/"), F.col("r_name"))
-    brands = t("part").select("p_brand").distinct()
-    calls = t("lineitem").select("l_orderkey", "l_partkey").distinct()
-    order, part = _seed("order", "l_orderkey"), _seed("part", "l_partkey")
+
+    def rows(df: DataFrame, stage: int, key: Column | str, up: str | None = None, a: str | None = None, b: str | None = None, key2: str | None = None) -> DataFrame:
+        text = [(F.lit(None) if c is None else F.col(c)).cast("string").alias(n) for n, c in (("up", up), ("a", a), ("b", b))]
+        return df.select(F.lit(stage).alias("stage"), (F.col(key) if isinstance(key, str) else key).cast("long").alias("k1"), (F.lit(0) if key2 is None else F.col(key2)).cast("long").alias("k2"), *text)
+
     parts = [
-        _ops(t("region"), 1, F.col("r_regionkey"), create, symbol_id=_seed("region", "r_regionkey"), kind=F.lit("file"), name=path, metadata=_json(handler=F.lit("region"), path=path)),
-        _ops(t("nation"), 2, F.col("n_nationkey"), create, symbol_id=_seed("nation", "n_nationkey"), parent_id=_seed("region", "n_regionkey"), kind=F.lit("module"), name=F.col("n_name"), metadata=empty),
-        _ops(t("customer"), 3, F.col("c_custkey"), create, symbol_id=_seed("customer", "c_custkey"), parent_id=_seed("nation", "c_nationkey"), kind=F.lit("class"), name=F.col("c_name"), metadata=_json(segment=F.col("c_mktsegment"))),
-        _ops(t("orders"), 4, F.col("o_orderkey"), create, symbol_id=_seed("order", "o_orderkey"), parent_id=_seed("customer", "o_custkey"), kind=F.lit("method"), name=F.concat(F.lit("o"), F.col("o_orderkey")), body=F.col("o_orderpriority"), metadata=empty),
-        _ops(brands, 5, F.conv(F.substring(F.md5(F.col("p_brand").cast("binary")), 1, 12), 16, 10), create, symbol_id=_seed("brand", "p_brand"), kind=F.lit("file"), name=F.col("p_brand"), metadata=empty),
-        _ops(t("part"), 6, F.col("p_partkey"), create, symbol_id=_seed("part", "p_partkey"), parent_id=_seed("brand", "p_brand"), kind=F.lit("function"), name=F.concat("p_name", F.lit("#"), "p_partkey"), body=F.col("p_type"), metadata=empty),
-        _ops(calls, 7, F.col("l_orderkey"), "CreateReference", F.col("l_partkey"), reference_id=F.concat(F.lit("reference:"), order, F.lit(":"), part, F.lit(":calls")), from_symbol_id=order, to_symbol_id=part, kind=F.lit("calls")),
+        rows(t("region"), 1, "r_regionkey", a="r_name"),
+        rows(t("nation"), 2, "n_nationkey", "n_regionkey", "n_name"),
+        rows(t("customer"), 3, "c_custkey", "c_nationkey", "c_name", "c_mktsegment"),
+        rows(t("orders"), 4, "o_orderkey", "o_custkey", b="o_orderpriority"),
+        rows(t("part").select("p_brand").distinct(), 5, F.conv(F.substring(F.md5(F.col("p_brand").cast("binary")), 1, 12), 16, 10), a="p_brand"),
+        rows(t("part"), 6, "p_partkey", "p_brand", "p_name", "p_type"),
+        rows(t("lineitem").select("l_orderkey", "l_partkey").distinct(), 7, "l_orderkey", key2="l_partkey"),
     ]
-    rows = parts[0]
+    found = parts[0]
     for p in parts[1:]:
-        rows = rows.unionAll(p)
+        found = found.unionAll(p)
     bucket = F.struct("stage", F.when(F.col("stage") == 5, 0).otherwise(F.floor(F.col("k1") / BUCKET)).alias("b"))
-    placed = dense_positions(rows, "position", bucket, ["k1", "k2"])
-    return placed.select(F.lit("main").alias("branch_id"), "position", F.concat(F.lit("main:"), "position").alias("op_id"), "op_type", *_NONE, F.lit("import").alias("changeset_id"), F.lit("2020-01-01 00:00:00").cast("timestamp").alias("created_at"))
+    return dense_positions(found, "position", bucket, ["k1", "k2"])
+
+
+def main_ops(keys: DataFrame) -> DataFrame:
+    """The operations that ``main_keys`` stand for."""
+    empty, path, order, part = F.lit("{}"), F.concat(F.lit("region/"), "a"), _seed("order", "k1"), _seed("part", "k2")
+    of = {
+        1: {"symbol_id": _seed("region", "k1"), "kind": F.lit("file"), "name": path, "metadata": _json(handler=F.lit("region"), path=path)},
+        2: {"symbol_id": _seed("nation", "k1"), "parent_id": _seed("region", "up"), "kind": F.lit("module"), "name": F.col("a"), "metadata": empty},
+        3: {"symbol_id": _seed("customer", "k1"), "parent_id": _seed("nation", "up"), "kind": F.lit("class"), "name": F.col("a"), "metadata": _json(segment=F.col("b"))},
+        4: {"symbol_id": order, "parent_id": _seed("customer", "up"), "kind": F.lit("method"), "name": F.concat(F.lit("o"), "k1"), "body": F.col("b"), "metadata": empty},
+        5: {"symbol_id": _seed("brand", "a"), "kind": F.lit("file"), "name": F.col("a"), "metadata": empty},
+        6: {"symbol_id": _seed("part", "k1"), "parent_id": _seed("brand", "up"), "kind": F.lit("function"), "name": F.concat("a", F.lit("#"), "k1"), "body": F.col("b"), "metadata": empty},
+        7: {"reference_id": F.concat(F.lit("reference:"), order, F.lit(":"), part, F.lit(":calls")), "from_symbol_id": order, "to_symbol_id": part, "kind": F.lit("calls")},
+    }
+
+    def column(name: str, kind: str) -> Column:
+        value = F.lit(None).cast(kind)
+        for stage, columns in of.items():
+            if name in columns:
+                value = F.when(F.col("stage") == stage, columns[name]).otherwise(value)
+        return value.cast(kind).alias(name)
+
+    made = F.when(F.col("stage") == 7, "CreateReference").otherwise("CreateSymbol").alias("op_type")
+    return keys.select(F.lit("main").alias("branch_id"), "position", F.concat(F.lit("main:"), "position").alias("op_id"), made, *[column(c, t) for c, t in _NONE.items()], F.lit("import").alias("changeset_id"), F.lit("2020-01-01 00:00:00").cast("timestamp").alias("created_at"))
+
+
+def main_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations of branch main: a forest of regions, nations, customers and orders, one of brands and parts, and the calls between them."""
+    return main_ops(main_keys(spark, sf_dir))
 
 
 def targets(events: DataFrame) -> Column:

@@ -32,13 +32,22 @@ class StateCache:
 
     def get(self, branch: str, count: int, fingerprint: str, make: Callable[[], State]) -> tuple[DataFrame, DataFrame, str]:
         """(symbols, references, HIT or MISS)."""
-        at, status = self.place(branch, count, fingerprint), "HIT"
-        if not all(self._exists(f"{at}/{name}/_SUCCESS") for name in ("symbols", "references")):
-            status = "MISS"
-            for name, df, key in zip(("symbols", "references"), make(), ("symbol_id", "reference_id")):
-                df.sortWithinPartitions(key).write.mode("overwrite").parquet(f"{at}/{name}")
+        at, status = self._filled(branch, count, fingerprint, make, ("symbols", "references"))
         return self.spark.read.parquet(f"{at}/symbols"), self.spark.read.parquet(f"{at}/references"), status
 
+    def symbols(self, branch: str, count: int, fingerprint: str, make: Callable[[], State]) -> DataFrame:
+        """The symbols alone; where they aren't there yet, references aren't written with them."""
+        return self.spark.read.parquet(f"{self._filled(branch, count, fingerprint, make, ('symbols',))[0]}/symbols")
+
+    def _filled(self, branch: str, count: int, fingerprint: str, make: Callable[[], State], names: tuple[str, ...]) -> tuple[str, str]:
+        at = self.place(branch, count, fingerprint)
+        lacking = [name for name in names if not self._exists(f"{at}/{name}/_SUCCESS")]
+        if lacking:
+            made = dict(zip(("symbols", "references"), make()))
+            for name in lacking:
+                made[name].sortWithinPartitions(f"{name[:-1]}_id").write.mode("overwrite").parquet(f"{at}/{name}")
+        return at, "MISS" if lacking else "HIT"
+
 
 def files_fingerprint(spark: SparkSession, paths: list[str]) -> tuple[int, str]:
     """(number of files, SHA-256 over their names, sizes and times) of files or folders."""
