@@ -3,20 +3,46 @@
 from __future__ import annotations
 
 import json
+import os
 import zlib
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlog.llm.common import pinned, small_batches
+from arborlog.llm import textkit
+from arborlog.llm.common import pinned, sliced, small_batches
 
 WINDOW = 1024
 #: Most groups of documents that are numbered apart; bounds the tables that the driver holds.
 GROUPS = 8192
-#: Most word pieces that a tokenizer worker remembers.
-CACHE = 150_000
+#: Most word pieces that a tokenizer worker remembers, besides those of the batch at hand.
+CACHE = 400_000
+
+
+def _spaces() -> tuple[np.ndarray, np.ndarray]:
+    """By two bytes of UTF-8: can they begin, or end, with a character that some regular expressions take for space?"""
+    first, last = np.zeros((256, 256), dtype=bool), np.zeros((256, 256), dtype=bool)
+    for c in map(chr, range(0x3001)):
+        if c.isspace() or c == "\u180e":
+            b = c.encode()
+            first[b[0], b[1] if len(b) > 1 else slice(None)] = True
+            last[b[-2] if len(b) > 1 else slice(None), b[-1]] = True
+    return first, last
+
+
+_FIRST, _LAST = _spaces()
+
+
+def _gathered(values: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists that lie one after another from the places ``at``, those with these numbers, and their own places."""
+    sizes = at[which + 1] - at[which]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return values[np.arange(ends[-1]) + np.repeat(at[which] - ends[:-1], sizes)], ends
 
 
 def is_plain(file: dict) -> bool:
@@ -46,8 +72,19 @@ class Slow:
     def __call__(self, text: str) -> bytes:
         return np.array(self._own.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self(t or "") for t in column.to_pylist()]
+        return np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum([0, *(len(x) // 4 for x in ids)])
+
 
 def encoder(path: str):
+    """The encoder of a file. A Python worker keeps it from task to task, as long as the file stays the same."""
+    found = os.stat(path)
+    return _encoder(path, found.st_mtime_ns, found.st_size)
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str, *version: int):
     with open(path, encoding="utf-8") as f:
         return Encoder(path) if is_plain(json.load(f)) else Slow(path)
 
@@ -57,9 +94,10 @@ class Encoder:
 
     The vocabulary is read from the JSON file and merged by tiktoken, which gives the same ids
     several times faster (a test compares both). As ``tokenizers`` does, the text is first cut at the
-    file's added tokens, the leftmost and longest first, and each stands as its own id. Text between a space
-    after a non-space and the next such space never shares a token with its neighbours, so such pieces are
-    encoded once and remembered; the memory is emptied when it is full.
+    file's added tokens, the leftmost and longest first, and each stands as its own id. A piece of text from a space
+    between two non-spaces to the next such space never shares a token with its neighbours. So a column of texts is
+    cut into such pieces, the distinct ones are looked up, and those not yet known are encoded together, as one text
+    whose ids are dealt by their bytes. The memory is emptied when it is full.
     """
 
     def __init__(self, path: str):
@@ -70,39 +108,82 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         vocabulary, added = file["model"]["vocab"], file.get("added_tokens") or []
-        self._added = {x["content"]: np.array([x["id"]], dtype="<u4").tobytes() for x in added}
+        self._added = {x["content"]: np.array([x["id"]], dtype="<u4") for x in added}
         self._marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self._added, key=len, reverse=True))) + ")") if added else None
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         odd = [b for b in range(256) if b not in plain]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(odd)}
         ranks = {bytes(byte[c] for c in k): v for k, v in vocabulary.items() if all(c in byte for c in k) and k not in self._added}
         self._bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._odd = regex.compile(r" \s|\s |^\s|\s$")
-        self._cuts = regex.compile(r"(?<=\S) (?=\S)")
-        self._known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self._bpe.encode_ordinary(text), dtype="<u4").tobytes()
+        self._bytes = np.zeros(max(ranks.values(), default=0) + 1, dtype=np.int64)  # of each id
+        self._bytes[list(ranks.values())] = [len(k) for k in ranks]
+        # known pieces, the number of batches that met each; ids of all of them, and where each one's begin
+        self._known, self._met = pa.array([], pa.large_binary()), np.zeros(0, dtype=np.int64)
+        self._ids, self._at = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+
+    def _forget(self) -> None:
+        """Keep the pieces met most often, half of CACHE."""
+        short = np.flatnonzero(pc.binary_length(self._known).to_numpy() < 64)
+        keep = np.sort(short[np.argsort(-self._met[short], kind="stable")[: CACHE // 2]])
+        self._known, self._met = self._known.take(pa.array(keep)), self._met[keep] // 2
+        self._ids, self._at = _gathered(self._ids, self._at, keep)
+
+    def _whole(self, text: bytes) -> np.ndarray:
+        return np.array(self._bpe.encode_ordinary(text.decode()), dtype="<u4")
 
     def __call__(self, text: str) -> bytes:
-        if self._marks is None or not any(x in text for x in self._added):
-            return self._between(text)
-        return b"".join(self._added[x] if i % 2 else self._between(x) for i, x in enumerate(self._marks.split(text)))
-
-    def _between(self, text: str) -> bytes:
-        """Ids of a text without added tokens."""
-        parts = self._cuts.split(text) if self._odd.search(text) else text.split(" ")
-        known, out = self._known, [self._whole(parts[0])]
-        for p in parts[1:]:
-            ids = known.get(p)
-            if ids is None:
-                ids = self._whole(" " + p)
-                if len(p) < 64:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.column(pa.array([text], pa.large_string()))[0].tobytes()
+
+    def column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin (one more at the end). Null is empty."""
+        if not any(pc.any(pc.match_substring(column, x)).as_py() for x in self._added):
+            return self._between(column)
+        parts = [self._marks.split(t or "") for t in column.to_pylist()]
+        ids, at = self._between(pa.array([x for p in parts for x in p[::2]], pa.large_string()))
+        between = (ids[i:j] for i, j in pairwise(at.tolist()))
+        out = [np.concatenate([self._added[x] if i % 2 else next(between) for i, x in enumerate(p)]) for p in parts]
+        return np.concatenate(out), np.cumsum([0, *map(len, out)])
+
+    def _between(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without added tokens."""
+        data, at = textkit.flat(column)
+        n = len(data)
+        if n == 0:
+            return np.zeros(0, dtype="<u4"), np.zeros(len(at), dtype=np.int64)
+        cut = np.flatnonzero(data == 32)
+        # a byte of the text before or after can only prevent a cut
+        cut = cut[~_LAST[data[np.maximum(cut - 2, 0)], data[np.maximum(cut - 1, 0)]] & ~_FIRST[data[np.minimum(cut + 1, n - 1)], data[np.minimum(cut + 2, n - 1)]]]
+        begin = np.zeros(n + 1, dtype=bool)
+        begin[cut] = True
+        begin[at[1:] - 1] &= data[at[1:] - 1] != 32  # a space that ends a text stays with what is before it
+        begin[at] = True
+        starts = np.flatnonzero(begin)  # and n
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+        number = self._numbers(pieces.dictionary)
+        ids, ends = _gathered(self._ids, self._at, number[pieces.indices.to_numpy()])
+        return ids, ends[np.searchsorted(starts, at)]
+
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        """Numbers of distinct pieces in the memory, after those not yet there are encoded."""
+        if len(self._known) > CACHE or self._known.nbytes + self._ids.nbytes > 128 * CACHE:
+            self._forget()
+        number = pc.index_in(pieces, value_set=self._known).fill_null(-1).to_numpy().astype(np.int64)
+        self._met[number[number >= 0]] += 1
+        new = np.flatnonzero(number < 0)
+        _, at, data = pieces.buffers()
+        at, data = np.frombuffer(at, dtype=np.int64), np.frombuffer(data, dtype=np.uint8)
+        a, b, last = at[new], at[new + 1], len(data) - 1
+        # side by side, pieces stay apart where a space stands between two non-spaces; the others are encoded alone
+        apart = (data[a] == 32) & (b - a > 1) & ~_FIRST[data[np.minimum(a + 1, last)], data[np.minimum(a + 2, last)]] & ~_LAST[data[np.maximum(b - 2, 0)], data[b - 1]]
+        joined = self._whole(b"".join(pc.take(pieces, pa.array(new[apart])).to_pylist()))
+        alone = [self._whole(x) for x in pc.take(pieces, pa.array(new[~apart])).to_pylist()]
+        ends = np.searchsorted(np.cumsum(self._bytes[joined]), np.cumsum((b - a)[apart])) + 1
+        new = np.concatenate([new[apart], new[~apart]])
+        number[new] = len(self._known) + np.arange(len(new))
+        self._known, self._met = pa.concat_arrays([self._known, pc.take(pieces, pa.array(new))]), np.concatenate([self._met, np.ones(len(new), dtype=np.int64)])
+        self._ids = np.concatenate([self._ids, joined, *alone])
+        self._at = np.concatenate([self._at, self._at[-1] + np.concatenate([ends, len(joined) + np.cumsum([len(x) for x in alone], dtype=np.int64)])])
+        return number
 
 
 def default_path() -> str:
@@ -134,8 +215,9 @@ def tokenized(docs: DataFrame, window: int, path: str | None) -> DataFrame:
 
     def run(batches):
         encode = encoder(path or default_path())
-        for b in batches:
-            rows = [pieces_of(encode(t or "") + b"\0\0\0\0", window) for t in b.column(2).to_pylist()]
+        for b in (part for whole in batches for part in sliced(whole, 2)):
+            ids, at = encode.column(b.column(2))
+            rows = [pieces_of(ids[i:j].tobytes() + b"\0\0\0\0", window) for i, j in pairwise(at.tolist())]
             n, full, rest, cut = zip(*rows) if rows else ((), (), (), ())
             u32 = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(full, u32), pa.array(rest, pa.int64()), pa.array(cut, u32)], ["entry", "doc_id", "n", "full", "rest", "cut"])

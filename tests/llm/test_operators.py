@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -639,6 +640,32 @@ def test_encoder_equals_tokenizers_at_added_tokens():
         assert ids(t) == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_of_columns(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE", 40)  # the memory is cut down time and again
+    tokenizer, encode = Tokenizer.from_file(packing.default_path()), packing.Encoder(packing.default_path())
+    rng = random.Random(8)
+    some = ["a", " ", " ", "  ", "\n", "é", " à", "\xa0", "\u3000", "\u2009 ", "\x1c", "\x85", "don't", "12", "!?", "日本", " x" * 40, "\t", " <|endoftext|>", "y" * 70]
+    for _ in range(60):
+        texts = [rng.choice([None, "", " "]) if rng.random() < 0.2 else "".join(rng.choice(some[: rng.choice([18, 20])]) + rng.choice(["", str(rng.randrange(99))]) for _ in range(rng.randrange(20))) for _ in range(rng.randrange(12))]
+        ids, at = encode.column(pa.array(texts, pa.string()))
+        assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_takes_new_pieces_together():
+    assert packing.encoder(packing.default_path()) is packing.encoder(packing.default_path())
+    encode, calls = packing.Encoder(packing.default_path()), []
+    whole = encode._whole
+    encode._whole = lambda x: calls.append(x) or whole(x)
+    column = pa.array([f"word{i} other{i % 7} " * 20 + "end" for i in range(100)])
+    encode.column(column)
+    assert len(calls) == 101  # the first piece of each text, and all others at once
+    calls.clear()
+    encode.column(column)
+    assert not any(calls)
+
+
 def test_packing_of_added_tokens(spark):
     got = packing.pack(spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string")).collect()
     assert [(r["doc_tokens"], r["length"], r["ids_crc32"]) for r in got] == [(4, 4, zlib.crc32(np.array([64, 50256, 65, 0], dtype="<u4").tobytes()))]
