@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import heapq
 import itertools
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -89,14 +88,39 @@ def _runs(sorted_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _sizes(cut: np.ndarray, n: int) -> np.ndarray:
+    """How long each run is, of n values in all."""
+    return np.diff(cut, append=n)
+
+
+def _order(key: np.ndarray, bits: int) -> np.ndarray:
+    """The order of numbers below 2**bits, equal ones as they come. Numbers that hold their places too are sorted several times faster."""
+    own = max(1, len(key)).bit_length()
+    if bits + own > 64:
+        return np.argsort(key, kind="stable")
+    both = (key.astype(np.uint64) << np.uint64(own)) | np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    both &= np.uint64((1 << own) - 1)
+    return both.view(np.int64)
+
+
+def _squeezed(data: bytes, level: int = 1) -> bytes:
+    """Compressed, after the number of bytes."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(data, asbytes=True)
+
+
+def _restored(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def _packed(x: np.ndarray) -> bytes:
     """Numbers as planes of their bytes, compressed: the high bytes of small numbers take hardly any room."""
-    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+    return _squeezed(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
 
 
 def _unpacked(data: bytes, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(_restored(data), dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 class Batch:
@@ -111,11 +135,12 @@ class Batch:
         """Hash the suffixes. A mark is the part of the sieve that it belongs to, and 32 bits more; equal words have equal marks."""
         marks = textkit.windows(self.words.hashes(), self.window, self.places)
         key = ((marks % np.uint64(parts)) << np.uint64(32)) | (marks >> np.uint64(32))
-        order = np.argsort(key, kind="stable")
-        cut = _runs(key[order])
-        self.key = key[order[cut]]
+        order = _order(key, 32 + parts.bit_length())
+        ranked = key[order]
+        cut = _runs(ranked)
+        self.key = ranked[cut]
         self.of = np.empty(len(key), dtype=np.int64)  # each suffix's mark
-        self.of[order] = np.repeat(np.arange(len(cut)), np.diff([*cut, len(key)]))
+        self.of[order] = np.repeat(np.arange(len(cut)), _sizes(cut, len(key)))
         own = self.doc[order]
         self.several = np.minimum.reduceat(own, cut) < np.maximum.reduceat(own, cut) if len(cut) else np.zeros(0, dtype=bool)
 
@@ -142,35 +167,45 @@ class Batch:
         self.kept = np.flatnonzero(shared)
         self.part = part = textkit.Covered(self.words, self.places[self.kept], self.window)
         doc = self.doc[self.kept]
-        order = np.lexsort((doc, part.windows))
-        cut = _runs(part.windows[order])
-        first = order[cut]
-        node = np.empty(len(order), dtype=np.int64)
-        node[order] = np.repeat(np.arange(len(cut)), np.diff([*cut, len(order)]))
+        seen = np.zeros(int(part.windows.max(initial=-1)) + 1, dtype=bool)
+        seen[part.windows] = True
+        node = (np.cumsum(seen) - 1)[part.windows]
+        least = np.full(int(np.count_nonzero(seen)), _LAST)
+        np.minimum.at(least, node, doc)
+        own = np.flatnonzero(doc == least[node])[::-1]
+        first = np.empty(len(least), dtype=np.int64)
+        first[node[own]] = own  # of a node met again, the last to be set is the first in the batch
+        order = np.argsort(first)
+        first = first[order]
         hashes, places = textkit.span_hashes(self.words.data, part.starts, part.ends), part.place[first]
-        group = groups([textkit.windows(hashes, k, places) for k in levels(self.window)])
-        table, rank = np.unique(doc[first], return_inverse=True)
-        sent = np.lexsort((places, rank, group))
+        group = groups(textkit.level_windows(hashes, levels(self.window), places))
+        table, rank = np.unique(least[order], return_inverse=True)
+        key = group.astype(np.int64) * len(table) + rank
+        sent = _order(key, int(key.max(initial=0)).bit_length())
         self.group, self.table, self.rank, self.sent_places = group[sent], table, rank[sent], places[sent]
         back = np.empty(len(sent), dtype=np.int64)
-        back[sent] = np.arange(len(sent))
-        self.node, self.least = back[node], doc[first][sent]  # of each kept suffix, in the order sent; of each sent one
+        back[order[sent]] = np.arange(len(sent))
+        self.node, self.least = back[node], least[order[sent]]  # of each kept suffix, in the order sent; of each sent one
 
     def suffixes(self):
         """(tree, words, codes of the suffixes' words by place in the window, doc_ids) for each tree that the batch meets."""
         cut, known = _runs(self.group), self.part.known
         # codes in the order of the words, as neighbours in order are alike and so compress
         order = sorted(range(len(known)), key=known.__getitem__)
-        rank = np.empty(len(known), dtype=np.int64)
-        rank[order] = np.arange(len(known))
-        codes = rank[self.part.codes]
+        rank = np.empty(len(known), dtype=np.int32)
+        rank[order] = np.arange(len(known), dtype=np.int32)
+        codes, ranked = rank[self.part.codes], [known[i] for i in order]
         for a, b in zip(cut, [*cut[1:], len(self.group)]):
-            part = codes[self.sent_places[a:b][None, :] + np.arange(self.window)[:, None]]
-            used, own = np.unique(part, return_inverse=True)
+            part = codes[(self.sent_places[a:b][None, :] + np.arange(self.window)[:, None]).ravel()]
+            met = np.zeros(len(known), dtype=bool)
+            met[part] = True
+            used = np.flatnonzero(met)
             kind = "<u2" if len(used) < 1 << 16 else "<u4"
-            docs, n = np.unique(self.rank[a:b], return_counts=True)
-            head = np.concatenate([[len(docs)], np.diff(self.table[docs], prepend=0), n]).astype("<i8")
-            yield int(self.group[a]), zlib.compress(b" ".join([known[order[i]] for i in used.tolist()]), 1), _packed(own.ravel().astype(kind)), zlib.compress(head.tobytes(), 1)
+            own = (np.cumsum(met, dtype=np.int32) - 1).astype(kind)[part]
+            docs = self.rank[a:b]  # sorted
+            at = _runs(docs)
+            head = np.concatenate([[len(at)], np.diff(self.table[docs[at]], prepend=0), _sizes(at, b - a)]).astype("<i8")
+            yield int(self.group[a]), _squeezed(b" ".join([ranked[i] for i in used.tolist()]), 3), _packed(own), _squeezed(head.tobytes())
 
     def covered(self, replies: dict[int, bytes]) -> np.ndarray:
         """For each word of the batch, whether it is removed, given each tree's bits: does a smaller document have the node?"""
@@ -190,9 +225,9 @@ def sieved(marks: list[bytes]) -> list[bytes]:
     """For each batch's marks of one part: bits that tell whether another batch has the mark."""
     parts = [np.cumsum(_unpacked(m, "<u4"), dtype=np.uint32) for m in marks]
     all_ = np.concatenate(parts)
-    order = np.argsort(all_, kind="stable")
+    order = _order(all_, 32)
     cut = _runs(all_[order])
-    n = np.diff([*cut, len(all_)])
+    n = _sizes(cut, len(all_))
     bits = np.empty(len(all_), dtype=bool)
     bits[order] = np.repeat(n > 1, n)
     ends = np.cumsum([len(m) for m in parts])
@@ -208,7 +243,15 @@ class Tree:
 
     def __init__(self, suffixes: np.ndarray):
         self.depth, n = suffixes.shape
-        self.order = np.lexsort(suffixes[::-1])
+        # as many words as fit side by side in 63 bits are one number to sort by
+        bits = int(suffixes.max(initial=1)).bit_length()
+        keys = []
+        for i in range(0, self.depth, 63 // bits):
+            key = np.zeros(n, dtype=np.int64)
+            for row in suffixes[i : i + 63 // bits]:
+                key = (key << bits) | row
+            keys.append(key)
+        self.order = np.lexsort(keys[::-1])
         ranked = suffixes[:, self.order]
         self.common = np.zeros(n, dtype=np.int64)  # words shared with the one before
         alike = np.ones(max(0, n - 1), dtype=bool)
@@ -225,14 +268,17 @@ def judged(texts: list[bytes], codes: list[bytes], heads: list[bytes], window: i
     """For each batch's suffixes of one tree: bits that tell whether a smaller doc_id has the same first ``window`` words in any batch."""
     docs, parts, words, first = [], [], [], 0
     for text, code, head in zip(texts, codes, heads):
-        x = np.frombuffer(zlib.decompress(head), dtype="<i8")
+        x = np.frombuffer(_restored(head), dtype="<i8")
         k = int(x[0])
         docs.append(np.repeat(np.cumsum(x[1 : k + 1]), x[k + 1 :]))
-        own = zlib.decompress(text).split(b" ")
-        parts.append(_unpacked(code, "<u2" if len(own) < 1 << 16 else "<u4").reshape(window, -1).astype(np.int32) + first)
-        words += own
-        first += len(own)
-    number = pa.array(words, pa.large_binary()).dictionary_encode().indices.to_numpy()  # 32 bits
+        own = _restored(text) + b" "
+        n = own.count(b" ")
+        parts.append(_unpacked(code, "<u2" if n < 1 << 16 else "<u4").reshape(window, -1).astype(np.int32) + first)
+        words.append(own)
+        first += n
+    data = b"".join(words)  # each word with the space after it
+    ends = np.concatenate([[0], np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 32) + 1])
+    number = pa.Array.from_buffers(pa.large_binary(), first, [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode().indices.to_numpy()  # 32 bits
     tree = Tree(number[np.concatenate(parts, axis=1)])
     doc = np.concatenate(docs)
     node = tree.nodes(window)
@@ -253,11 +299,11 @@ def _chunk(parts: list[pa.RecordBatch]) -> bytes:
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, parts[0].schema) as stream:
         stream.write_table(pa.Table.from_batches(parts).combine_chunks())
-    return zlib.compress(out.getvalue(), 1)
+    return _squeezed(out.getvalue(), 3)
 
 
 def _rows(chunk: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(zlib.decompress(chunk)).read_all().combine_chunks().to_batches()[0]
+    return pa.ipc.open_stream(_restored(chunk)).read_all().combine_chunks().to_batches()[0]
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -289,8 +335,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             for part in sliced(b, 0):
                 words = textkit.Words(part.column(0))
                 places, hashes = np.flatnonzero(textkit.fits(words, window)), words.hashes()
-                for k, n in enumerate(levels(window)):
-                    table[k] += np.bincount(_cell(textkit.windows(hashes, n, places), cells), minlength=cells)
+                for row, prefix in zip(table, textkit.level_windows(hashes, levels(window), places)):
+                    row += np.bincount(_cell(prefix, cells), minlength=cells)
         level, cell = np.nonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(cell, pa.int32()), pa.array(table[level, cell], pa.int64())], ["level", "cell", "n"])
 

@@ -20,7 +20,8 @@ _BACK = pow(_STEP, -1, 2**64)
 _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
-SEGMENT = 1 << 20
+#: Bytes hashed at a time, so few that their numbers stay in the processor's cache.
+SEGMENT = 1 << 15
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -35,10 +36,11 @@ def _power(kind: str, base: int, n: int) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every bit over all bits."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -127,10 +129,29 @@ class Words:
 
 def windows(hashes: np.ndarray, k: int, places: np.ndarray) -> np.ndarray:
     """Hash of the k words that start at each of these places."""
-    out = np.zeros(len(places), dtype=np.uint64)
-    for j in range(k):
-        out += hashes[places + j] * _PLACE[j]
-    return mix(out)
+    return level_windows(hashes, [k], places)[0]
+
+
+def level_windows(hashes: np.ndarray, levels: list[int], places: np.ndarray) -> list[np.ndarray]:
+    """For each k of the rising levels, the hash of the k words that start at each of these places (sorted), a segment at a time."""
+    out = [np.empty(len(places), dtype=np.uint64) for _ in levels]
+    step = SEGMENT >> 1
+    for i in range(0, len(places), step):
+        at = places[i : i + step]
+        lo, hi = int(at[0]), int(at[-1]) + 1
+        near = hi - lo <= 2 * len(at)  # then sums over all words between are cheaper than picking each
+        sums = np.zeros(hi - lo if near else len(at), dtype=np.uint64)
+        have = 0
+        for k, row in zip(levels, out):
+            for j in range(have, k):
+                if near:
+                    part = hashes[lo + j : hi + j]
+                    sums[: len(part)] += part * _PLACE[j]
+                else:
+                    sums += hashes[at + j] * _PLACE[j]
+            have = k
+            row[i : i + step] = mix(sums[at - lo] if near else sums)
+    return out
 
 
 def fits(words: Words, k: int) -> np.ndarray:

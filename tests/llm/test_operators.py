@@ -258,6 +258,38 @@ def test_tree_nodes():
     assert [tree.nodes(d).tolist() for d in (1, 2, 3)] == [[0, 0, 0, 0, 1], [0, 0, 0, 1, 2], [0, 0, 1, 2, 3]]
 
 
+def test_trees_sort_by_several_words_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    plain, keys = np.lexsort, []
+    monkeypatch.setattr(np, "lexsort", lambda x: keys.append(len(x)) or plain(x))
+    for most, numbers in ((2, 1), (1 << 16, 5), (1 << 31, 7)):
+        words = rng.integers(0, most, (13, 3000)).astype(np.int32)
+        words[:9, :2000] = words[:9, [0]]  # long common prefixes
+        assert substrings.Tree(words).order.tolist() == plain(words[::-1]).tolist()
+        assert keys.pop() == numbers
+
+
+def test_orders_of_packed_numbers():
+    rng = np.random.default_rng(5)
+    for n, bits in ((0, 32), (1, 32), (5000, 8), (5000, 40), (5000, 64)):
+        key = rng.integers(0, 1 << min(bits, 63), n).astype(np.uint64)
+        key[::3] = key[:1].sum()
+        assert substrings._order(key, bits).tolist() == np.argsort(key, kind="stable").tolist()
+    assert substrings._restored(substrings._squeezed(b"")) == b"" and substrings._restored(substrings._squeezed(b"ab" * 99, 3)) == b"ab" * 99
+
+
+def test_window_hashes_of_dense_and_sparse_places(monkeypatch):
+    from arborlog.llm import textkit
+
+    monkeypatch.setattr(textkit, "SEGMENT", 64)
+    rng = np.random.default_rng(6)
+    hashes = rng.integers(0, 1 << 63, 500).astype(np.uint64)
+    for places in (np.arange(488), np.flatnonzero(rng.random(488) < 0.9), np.flatnonzero(rng.random(488) < 0.1), np.zeros(0, dtype=np.int64), np.array([487])):
+        for k, got in zip((1, 2, 4, 8, 13), textkit.level_windows(hashes, [1, 2, 4, 8, 13], places)):
+            want = sum((hashes[places + j] * textkit._PLACE[j] for j in range(k)), np.zeros(len(places), dtype=np.uint64))
+            assert got.tolist() == textkit.mix(want).tolist() == textkit.windows(hashes, k, places).tolist()
+
+
 def test_window_codes():
     from arborlog.llm import textkit
 
